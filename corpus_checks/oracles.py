@@ -159,9 +159,9 @@ RUNS = """SELECT doc_id, lang, source, line, text = '' AS empty, unnest(range(le
 
 WORDS = f"""
     pages AS (SELECT doc_id, line, CAST(line // 8 + 1 AS BIGINT) AS page, string_split(text, ' ') AS ws FROM ({LINES})),
-    spread AS (SELECT doc_id, page, line, unnest(range(len(ws))) AS at, unnest(ws) AS word FROM pages),
+    spread AS (SELECT doc_id, page, line, unnest(range(len(ws))) AS ix, unnest(ws) AS word FROM pages),
     words AS (SELECT doc_id, page, line, word,
-        row_number() OVER (PARTITION BY doc_id ORDER BY line, at) - 1 AS pos
+        row_number() OVER (PARTITION BY doc_id ORDER BY line, ix) - 1 AS pos
         FROM spread WHERE word <> ''),
     boxed AS (SELECT *, CAST(pos * 10 AS DOUBLE) AS x, CAST(line * 12 AS DOUBLE) AS y,
         CAST(length(word) * 0.5 AS DOUBLE) AS w, CAST(8.0 AS DOUBLE) AS h FROM words)"""
@@ -190,10 +190,10 @@ PHRASES = f"""WITH {detected()}, {WORDS},
 
 DICTIONARY = """dict AS (SELECT DISTINCT CASE WHEN contains(text, ',') THEN 'company_name' ELSE 'human_name' END AS kind,
         text AS value FROM benchmark WHERE text <> ''),
-    hits AS (SELECT d.doc_id, kind, value, instr(d.text, value) AS at FROM documents d JOIN dict ON contains(d.text, value)),
+    hits AS (SELECT d.doc_id, kind, value, instr(d.text, value) AS ix FROM documents d JOIN dict ON contains(d.text, value)),
     per_doc AS (SELECT doc_id,
-        coalesce(list(value ORDER BY at, value) FILTER (kind = 'company_name'), []) AS company,
-        coalesce(list(value ORDER BY at, value) FILTER (kind = 'human_name'), []) AS human
+        coalesce(list(value ORDER BY ix, value) FILTER (WHERE kind = 'company_name'), []) AS company,
+        coalesce(list(value ORDER BY ix, value) FILTER (WHERE kind = 'human_name'), []) AS human
         FROM hits GROUP BY doc_id),
     docs AS (SELECT d.*, coalesce(company, []) AS company, coalesce(human, []) AS human
         FROM documents d LEFT JOIN per_doc USING (doc_id))"""
@@ -251,9 +251,11 @@ ORACLES = {
     "infer_pii": f"{MODEL} SELECT doc_id, CAST(NULL AS VARCHAR) AS detect_status, {flat_kinds()} FROM found",
     "cut_at_stop": f"""SELECT conv_id, turn, regexp_replace(regexp_replace(text, '^[{WS}]+', ''), '[{WS}]+$', '') AS answer
         FROM conversations""",
-    "extract_json": """SELECT conv_id, turn, CASE WHEN role = 'user' THEN concat('{"a": "', text, '"}')
-        WHEN instr(text, '{') > 0 AND instr(text, '}') > instr(text, '{') THEN NULL
-        ELSE '{}' END AS json FROM conversations""",
+    "extract_json": """WITH raws AS (SELECT conv_id, turn, CASE WHEN role = 'user'
+        THEN concat('say {"a": "', text, '"} so } there') ELSE concat('} ', text) END AS r FROM conversations),
+        spans AS (SELECT *, instr(r, '{') AS i, length(r) - instr(reverse(r), '}') + 1 AS j FROM raws)
+        SELECT conv_id, turn, CASE WHEN i > 0 AND contains(r, '}') AND j > i THEN substr(r, i, j - i + 1)
+        ELSE '{}' END AS json FROM spans""",
     "parse_pii": f"""{FOUND}, right_shape AS (SELECT *, lang <> 'fr' AS good FROM found)
         SELECT doc_id, CASE WHEN NOT good THEN 'parse_failed' END AS status, '' AS address, '' AS company_name,
         CASE WHEN good THEN {flat('email_address')} ELSE '' END AS email_address, '' AS human_name,
@@ -267,10 +269,10 @@ ORACLES = {
     "entities_all": f"{FOUND} {text_list('items')}",
     "entities_distinct": f"{FOUND} {text_list('vals')}",
     "entities_longest_first": f"{FOUND} {text_list('ordered')}",
-    "words_longest_first": f"""WITH spread AS (SELECT doc_id, unnest(range(len(ws))) AS at, unnest(ws) AS v
+    "words_longest_first": f"""WITH spread AS (SELECT doc_id, unnest(range(len(ws))) AS ix, unnest(ws) AS v
         FROM (SELECT doc_id, regexp_split_to_array(text, '[ \n]') AS ws FROM documents)),
-        firsts AS (SELECT doc_id, v, min(at) AS at FROM spread WHERE v <> '' GROUP BY doc_id, v)
-        SELECT doc_id, coalesce(string_agg(v, {MARK} ORDER BY -{length16('v')}, at), '') AS items
+        firsts AS (SELECT doc_id, v, min(ix) AS ix FROM spread WHERE v <> '' GROUP BY doc_id, v)
+        SELECT doc_id, coalesce(string_agg(v, {MARK} ORDER BY -{length16('v')}, ix), '') AS items
         FROM documents LEFT JOIN firsts USING (doc_id) GROUP BY doc_id""",
     "entities_long": f"""{FOUND}, kinds AS ({' UNION ALL '.join(
         f"SELECT doc_id, '{k}' AS kind, {k} AS vs FROM found" for k in KINDS)})
@@ -300,11 +302,11 @@ ORACLES = {
     "redact_any": f"{corpus(EXT)} SELECT {path('ext')} AS path, masked_text FROM done",
     "assemble_docx": f"""SELECT doc_id, string_agg(text || chr(10), '' ORDER BY line) AS text FROM ({LINES}) GROUP BY doc_id""",
     "assemble_pptx": f"""WITH slides AS (SELECT doc_id, line // 8 AS part,
-        coalesce(string_agg(text || ' ', '' ORDER BY line) FILTER (regexp_matches(text, '[^{WS}]')), '') || chr(10) AS text
+        coalesce(string_agg(text || ' ', '' ORDER BY line) FILTER (WHERE regexp_matches(text, '[^{WS}]')), '') || chr(10) AS text
         FROM ({LINES}) GROUP BY ALL)
         SELECT doc_id, string_agg(text, '' ORDER BY part) AS text FROM slides GROUP BY doc_id""",
     "assemble_xlsx": f"""SELECT doc_id, coalesce(string_agg(text || ' ', '' ORDER BY line)
-        FILTER (regexp_matches(text, '[^{WS}]')), '') AS text FROM ({LINES}) GROUP BY doc_id""",
+        FILTER (WHERE regexp_matches(text, '[^{WS}]')), '') AS text FROM ({LINES}) GROUP BY doc_id""",
     "resolve_cells": f"""SELECT concat('/c/', source, '/', doc_id, '.xlsx') AS path, CAST(1 AS BIGINT) AS sheet,
         CAST(line AS BIGINT) AS cell_ord, CASE WHEN length(text) >= 20 THEN 's' ELSE 'inlineStr' END AS dtype,
         CASE WHEN length(text) >= 20 THEN CAST(line AS VARCHAR) ELSE text END AS raw, text,

@@ -103,13 +103,14 @@ def _by_grams(docs, entries, id_col, text_col, small):
     if not sizes:
         return docs.withColumn("pii", pii_struct())
     text = F.col(text_col)
-    per_size = [
-        F.transform(
-            F.array_distinct(_grams(text, n)),
-            lambda g, n=n: F.struct(F.lit(n).alias("size"), g.alias("gram")),
+
+    def grams_of(size):
+        return F.transform(
+            F.array_distinct(_grams(text, size)),
+            lambda g: F.struct(F.lit(size).alias("size"), g.alias("gram")),
         )
-        for n in sizes
-    ]
+
+    per_size = [grams_of(size) for size in sizes]
     spelled = docs.select(id_col, F.explode(F.concat(*per_size)).alias("g")).select(
         id_col, F.col("g.size").alias("size"), F.col("g.gram").alias("gram")
     )
