@@ -44,7 +44,7 @@ def ext_by_language():
 
 def lines(docs, *keep):
     """`(doc_id, keep..., line, text)`, one row per line."""
-    return docs.select("doc_id", *keep, F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return docs.select("doc_id", *keep, F.posexplode_outer(F.split("text", "\n")).alias("line", "text"))
 
 
 def docx_rows(docs, *keep):
@@ -91,7 +91,8 @@ def word_rows(docs, *keep):
         ),
     )
     words = F.filter(F.flatten(page), lambda w: F.length(w["word"]) > 0)
-    rows = docs.select("doc_id", *keep, F.posexplode(words).alias("pos", "w"))
+    rows = docs.select("doc_id", *keep, F.posexplode_outer(words).alias("pos", "w"))
+    rows = rows.filter(F.col("pos").isNotNull())
     return rows.select(
         "doc_id", *keep, F.col("w.page").alias("page"), "pos", F.col("w.word").alias("word"),
         (F.col("pos") * 10).cast("double").alias("x"),

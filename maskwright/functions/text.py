@@ -13,14 +13,23 @@ CELL_MASK = "[MASKED]"
 MASKED_SUFFIX = "_masked"
 
 _SUPPLEMENTARY = r"[\x{10000}-\x{10FFFF}]"
+# Visible characters of ASCII and Latin-1, each one UTF-16 unit and no white space.
+_COMMON = "".join(map(chr, [*range(0x21, 0x7F), *range(0xA1, 0x100)]))
 _EXTENSION = r"(\.[^./]+)$"
 _NAME_AND_EXTENSION = r"^(.*?)(\.[^./]+)?$"
 
 
 def mask_blocks(col):
-    """Every non-white-space UTF-16 unit becomes a block; null and '' stay."""
-    wide = F.regexp_replace(col, _SUPPLEMENTARY, BLOCK * 2)
-    return F.regexp_replace(wide, f"[^{WHITESPACE}]", BLOCK)
+    """Every non-white-space UTF-16 unit becomes a block; null and '' stay.
+
+    Common characters go by table lookup, which is much faster than a regex; the
+    regexes see only texts that hold others.
+    """
+    common = F.translate(col, _COMMON, BLOCK * len(_COMMON))
+    others = F.length(F.translate(col, _COMMON + " \t\n\r", "")) > 0
+    wide = F.regexp_replace(common, _SUPPLEMENTARY, BLOCK * 2)
+    every = F.regexp_replace(wide, f"[^{WHITESPACE}]", BLOCK)
+    return F.when(others, every).otherwise(common)
 
 
 def utf16_length(col):

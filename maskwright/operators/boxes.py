@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions.text import is_blank
 from maskwright.operators.joins import salted_join
+from maskwright.session import durable
 
 START_BLOCK = 1024
 
@@ -27,7 +28,7 @@ def _phrase_tokens(phrases, key):
         ),
     ).otherwise(F.lit(False))
     return sized.withColumn("_overlaps", overlaps).select(
-        key, "phrase", "_n", "_overlaps", F.posexplode("_tokens").alias("_k", "_token")
+        key, "phrase", "_n", "_overlaps", F.posexplode_outer("_tokens").alias("_k", "_token")
     )
 
 
@@ -40,8 +41,9 @@ def phrase_boxes(words, phrases, key="doc_id"):
     overlap.
 
     Word k of a phrase votes for the start `pos - k`; a start with all votes is a
-    match. So only words that occur in a phrase are shuffled, and a long page is
-    spread over its starts.
+    match. A long page is spread over its starts, and no page or document is held
+    in one task. The matches, few next to the words, are written to the shared
+    folder once, as phrases that can overlap themselves take a second look at them.
     """
     parts = _phrase_tokens(phrases, key)
     votes = salted_join(
@@ -59,6 +61,7 @@ def phrase_boxes(words, phrases, key="doc_id"):
         )
         .filter(F.col("_votes") == n)
     )
+    matches = durable(words.sparkSession, matches, "matches")
     keys = [key, "phrase", "page"]
     chained = matches.filter("_overlaps")
     kept = chained.join(_without_overlaps(chained, keys), [*keys, "start"], "left_semi")

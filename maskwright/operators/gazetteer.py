@@ -111,7 +111,8 @@ def _by_grams(docs, entries, id_col, text_col, small):
         )
 
     per_size = [grams_of(size) for size in sizes]
-    spelled = docs.select(id_col, F.explode(F.concat(*per_size)).alias("g")).select(
+    # Outer, or the optimizer would spell every text twice to filter by list size.
+    spelled = docs.select(id_col, F.explode_outer(F.concat(*per_size)).alias("g")).select(
         id_col, F.col("g.size").alias("size"), F.col("g.gram").alias("gram")
     )
     if small:

@@ -110,7 +110,7 @@ def _infer_chunks(docs, make_model, id_col, batch_size, size, overlap, strip_con
     spark = docs.sparkSession
     text = F.col("text")
     pieces = docs.filter(text.isNotNull()).select(
-        id_col, F.posexplode(chunks(text, size, overlap)).alias("chunk", "text")
+        id_col, F.posexplode_outer(chunks(text, size, overlap)).alias("chunk", "text")
     )
     answers = _answers(pieces, make_model, batch_size, strip_control, dedupe=True)
     keyed = pieces.select(id_col, "chunk", F.sha2("text", 256).alias("_key"))

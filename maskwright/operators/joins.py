@@ -9,10 +9,16 @@ def salted_join(left, right, keys, spread_by, how="left", salts=DEFAULT_SALTS):
     """`left.join(right, keys, how)` with every key split over `salts` tasks.
 
     Rows of `left` are spread by the columns `spread_by`; `right`, the smaller side,
-    is repeated once per salt. Adaptive execution may still broadcast `right` once
-    its size is known to be small, or split a partition further. For `how` only
-    `left`, `inner`, `left_semi` and `left_anti` make sense.
+    is repeated once per salt. For `how` only `left`, `inner`, `left_semi` and
+    `left_anti` make sense.
+
+    Only `right` may be broadcast, by adaptive execution and once its size has been
+    measured. An inner join is asked to sort and merge instead: there the planner
+    could also broadcast `left`, whose size it guesses far too low when its rows
+    come out of an explode.
     """
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
     repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    if how == "inner":
+        repeated = repeated.hint("merge")
     return left.withColumn("_salt", salt).join(repeated, [*keys, "_salt"], how).drop("_salt")

@@ -1,0 +1,245 @@
+"""Golden cases of the operators on small inline tables."""
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from maskwright.operators import assembly, boxes, cells, entities, gazetteer, inference, masking
+from maskwright.plans import detectors
+from maskwright.plans.mask_documents import mask_documents
+
+
+def rows(df, *order):
+    return [tuple(r) for r in (df.orderBy(*order) if order else df).collect()]
+
+
+def test_segments_split_value_stays(spark):
+    segs = spark.createDataFrame(
+        [("d", 0, 0, 0, "田中"), ("d", 0, 0, 1, "太郎"), ("d", 0, 1, 0, "田中太郎様"), ("e", 0, 0, 0, "田中太郎")],
+        "path string, part int, para int, seg int, text string",
+    )
+    lists = spark.createDataFrame([("d", ["田中太郎"]), ("e", [])], "path string, values array<string>")
+    want = [("田中", False), ("太郎", False), ("████様", True), ("田中太郎", False)]
+    by_list = masking.redact_segments_by_list(segs, lists)
+    assert rows(by_list.orderBy("path", "para", "seg").select("masked_text", "changed")) == want
+    in_row = masking.redact_segments(segs.join(lists, "path"))
+    assert rows(in_row.orderBy("path", "para", "seg").select("masked_text", "changed")) == want
+    parts = masking.changed_parts(by_list, ["path", "part"])
+    assert rows(parts, "path") == [("d", 0, True), ("e", 0, False)]
+
+
+def test_mask_cells_and_counts(spark):
+    df = spark.createDataFrame(
+        [(1, "x tokyo", ["tokyo"]), (2, "Tokyo", ["tokyo"]), (3, None, ["tokyo"]), (4, "a", [])],
+        "cell_ord int, text string, values array<string>",
+    )
+    got = rows(masking.mask_cells(df).select("cell_ord", "masked_text", "changed"), "cell_ord")
+    assert got == [(1, "[MASKED]", True), (2, "Tokyo", False), (3, None, False), (4, "a", False)]
+
+
+def test_resolve_cells(spark):
+    found = spark.createDataFrame(
+        [("a", 1, 0, "s", "1"), ("a", 1, 1, None, "0312345678"), ("a", 1, 2, "s", "9"), ("a", 1, 3, "s", "x"),
+         ("b", 1, 0, "s", "7"), ("a", 1, 4, "s", "-1")],
+        "path string, sheet int, cell_ord int, dtype string, raw string",
+    )
+    sst = spark.createDataFrame([("a", 0, "a"), ("a", 1, "b")], "path string, idx int, text string")
+    want = [("a", 0, "b", None), ("a", 1, "0312345678", None), ("a", 2, None, "failed"), ("a", 3, "x", None),
+            ("a", 4, None, "failed"), ("b", 0, "7", None)]
+    got = cells.resolve_cells(found, sst).select("path", "cell_ord", "text", "status")
+    assert rows(got, "path", "cell_ord") == want
+    known = found.withColumn("has_sst", F.col("path") == "a")
+    got = cells.resolve_cells(known, sst).select("path", "cell_ord", "text", "status")
+    assert rows(got, "path", "cell_ord") == want
+
+
+def test_assemble(spark):
+    docx = spark.createDataFrame(
+        [("p", 0, 0, 1, "c"), ("p", 0, 0, 0, "ab"), ("p", 0, 1, None, None), ("p", 0, 2, 0, "d")],
+        "path string, part int, para int, seg int, text string",
+    )
+    assert rows(assembly.assemble_docx(docx)) == [("p", "abc\n\nd\n")]
+    pptx = spark.createDataFrame(
+        [("p", 1, 0, 0, "a"), ("p", 1, 0, 1, " "), ("p", 1, 0, 2, "b"), ("p", 2, 0, None, None)],
+        "path string, part int, para int, seg int, text string",
+    )
+    assert rows(assembly.assemble_pptx(pptx)) == [("p", "a b \n\n")]
+    xlsx = spark.createDataFrame(
+        [("p", 1, 0, "a"), ("p", 1, 1, "　"), ("p", 1, 2, "b"), ("p", 2, 0, "c")],
+        "path string, sheet int, cell_ord int, text string",
+    )
+    assert rows(assembly.assemble_xlsx(xlsx)) == [("p", "a b c ")]
+    words = spark.createDataFrame(
+        [(1, 2, 0, "c"), (1, 1, 1, "b"), (1, 1, 0, "a")], "doc_id long, page int, pos int, word string"
+    )
+    assert rows(assembly.assemble_words(words)) == [(1, "a b \nc \n")]
+
+
+def test_order_survives_repartition(spark):
+    many = [("p", 0, para, seg, f"{para}.{seg};") for para in range(60) for seg in range(30)]
+    random.Random(1).shuffle(many)
+    df = spark.createDataFrame(many, "path string, part int, para int, seg int, text string").repartition(7)
+    want = "".join("".join(f"{p}.{s};" for s in range(30)) + "\n" for p in range(60))
+    assert rows(assembly.assemble_docx(df)) == [("p", want)]
+
+
+def word_table(spark, pages):
+    data, pos = [], 0
+    for page, line in pages:
+        for word in line.split():
+            data.append((1, page, pos, word, float(pos * 10), 5.0 + pos % 2, 8.0, 4.0))
+            pos += 1
+    return spark.createDataFrame(
+        data, "doc_id long, page int, pos int, word string, x double, y double, w double, h double"
+    )
+
+
+def phrase_table(spark, *phrases):
+    return spark.createDataFrame([(1, p) for p in phrases], "doc_id long, phrase string")
+
+
+@pytest.mark.parametrize("pages,phrase,want", [
+    ([(1, "a b A b c a b")], "a b", [0, 2, 5]),
+    ([(1, "a a a a a")], "a a", [0, 2]),
+    ([(2, "x a"), (3, "b x")], "a b", []),
+    ([(1, "a b")], " 　", []),
+    ([(1, "a b a b a b a")], "a b a", [0, 4]),
+    ([(1, "x a b\tc")], "B\nc", [2]),
+])
+def test_phrase_boxes(spark, pages, phrase, want):
+    found = boxes.phrase_boxes(word_table(spark, pages), phrase_table(spark, phrase))
+    assert [r["start"] for r in found.orderBy("start").collect()] == want
+
+
+def test_phrase_box_extent(spark):
+    found = boxes.phrase_boxes(word_table(spark, [(1, "z a b")]), phrase_table(spark, "a b"))
+    assert rows(found.select("page", "x", "y", "w", "h")) == [(1, 10.0, 5.0, 18.0, 5.0)]
+
+
+def greedy(words, phrase):
+    out, i = [], 0
+    while i + len(phrase) <= len(words):
+        if words[i : i + len(phrase)] == phrase:
+            out.append(i)
+            i += len(phrase)
+        else:
+            i += 1
+    return out
+
+
+def test_phrase_boxes_against_brute_force(spark, monkeypatch):
+    """Small blocks, so that matches reach over many block edges."""
+    monkeypatch.setattr(boxes, "START_BLOCK", 5)
+    rng = random.Random(7)
+    words = [rng.choice("aab") for _ in range(400)] + ["a"] * 37
+    phrases = ["a a", "a b a", "a a a", "a b a a b a", "b", "a b"]
+    found = boxes.phrase_boxes(word_table(spark, [(1, " ".join(words))]), phrase_table(spark, *phrases))
+    got = {}
+    for row in found.collect():
+        got.setdefault(row["phrase"], []).append(row["start"])
+    assert {p: sorted(s) for p, s in got.items()} == {p: greedy(words, p.split()) for p in phrases}
+
+
+def test_page_boxes(spark):
+    found = spark.createDataFrame(
+        [(1, 1, 0.0, 10.0, 2.0, 5.0), (1, 0, 0.0, 1.0, 1.0, 1.0), (1, 9, 0.0, 1.0, 1.0, 1.0)],
+        "doc_id long, page int, x double, y double, w double, h double",
+    )
+    dims = spark.createDataFrame([(1, 1, 100.0)], "doc_id long, page int, height double")
+    assert rows(boxes.page_boxes(found, dims).select("page", "y")) == [(1, 85.0)]
+
+
+def test_gazetteer_ways_agree(spark):
+    values = [("human_name", "田中"), ("human_name", "田中太郎"), ("company_name", "株式会社サンプル"),
+              ("human_name", "Jo"), ("human_name", "𠮷"), ("address", "12 Mill Road"), ("iban", "x"), ("human_name", "")]
+    dictionary = spark.createDataFrame(values, "kind string, value string")
+    texts = [(1, "田中太郎は株式会社サンプルの田中"), (2, "Jo at 12 Mill Road\nand 𠮷田"), (3, "none"), (4, None), (5, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    results = []
+    for method in ("inline", "grams"):
+        found = gazetteer.detect_gazetteer(docs, dictionary, method=method)
+        results.append(rows(found.select("doc_id", "pii.address", "pii.company_name", "pii.human_name"), "doc_id"))
+    want = [(1, [], ["株式会社サンプル"], ["田中", "田中太郎"]), (2, ["12 Mill Road"], [], ["Jo", "𠮷"]),
+            (3, [], [], []), (4, [], [], []), (5, [], [], [])]
+    assert results == [want, want]
+
+
+def test_large_dictionary_is_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(gazetteer, "BROADCAST_BYTES", 0)
+    rng = random.Random(3)
+    names = sorted({"".join(rng.choice("abc ") for _ in range(rng.randint(1, 9))) for _ in range(700)})
+    dictionary = spark.createDataFrame([("human_name", n) for n in names], "kind string, value string")
+    texts = ["".join(rng.choice("abc ") for _ in range(60)) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = gazetteer.detect_gazetteer(docs, dictionary)
+    for doc_id, got in rows(found.select("doc_id", "pii.human_name")):
+        text = texts[doc_id]
+        assert got == sorted((n for n in names if n in text), key=lambda n: (text.find(n), n))
+
+
+def test_combined_detectors_and_counts(spark):
+    docs = spark.createDataFrame([(1, "田中 a@b.co a@b.co"), (2, "x")], "doc_id long, text string")
+    dictionary = spark.createDataFrame([("human_name", "田中")], "kind string, value string")
+    both = detectors.combined(detectors.by_rules(), detectors.by_dictionary(dictionary))
+    got = rows(mask_documents(docs, both).select("doc_id", "masked_text", "status", "n_values", "n_email_address"), "doc_id")
+    assert got == [(1, "██ ██████ ██████", "masked", 2, 2), (2, "x", "clean", 0, 0)]
+    long = entities.entities_long(both(docs))
+    assert rows(long, "kind", "ord") == [
+        (1, "email_address", 0, "a@b.co"), (1, "email_address", 1, "a@b.co"), (1, "human_name", 0, "田中")]
+    assert rows(entities.corpus_summary(long), "kind") == [("email_address", 2, 1, 1), ("human_name", 1, 1, 1)]
+
+
+def model_for_tests():
+    """Names every capitalised word; chokes on some texts, mumbles on others.
+
+    Made inside a function, so that it travels to the workers by value."""
+
+    def loud_model(stop, context_tokens, max_new_tokens):
+        import json
+        import re
+
+        assert (context_tokens, max_new_tokens) == (4096, 512)
+
+        def answer(prompt):
+            body = prompt.split("user\n", 1)[1].split(stop[0], 1)[0]
+            if "choke" in body:
+                raise RuntimeError("model")
+            if "mumble" in body:
+                return '{"human_name": "x"}'
+            return json.dumps({"human_name": re.findall(r"[A-Z][a-z]+", body)}) + stop[0]
+
+        return lambda prompts: [answer(p) for p in prompts]
+
+    return loud_model
+
+
+loud_model = model_for_tests()
+
+
+def test_infer_and_parse_errors(spark):
+    texts = [(1, "Anna met Bob"), (2, "choke Carl"), (3, "mumble Dora"), (4, "Anna met Bob"), (5, None), (6, "Emil " * 30)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    model = detectors.by_model(loud_model, max_chars=100, batch_size=4)
+    kept = rows(mask_documents(docs, model).select("doc_id", "masked_text", "status"), "doc_id")
+    assert kept == [(1, "████ met ███", "masked"), (2, None, "failed"), (3, None, "parse_failed"),
+                    (4, "████ met ███", "masked"), (5, None, "failed"), (6, None, "failed")]
+    copied = mask_documents(docs, model, on_parse_error="copy").filter("doc_id = 3")
+    assert rows(copied.select("masked_text", "status")) == [("mumble Dora", "parse_failed")]
+    with pytest.raises(ValueError):
+        mask_documents(docs, on_parse_error="ignore")
+
+
+def test_chunks_cover_long_texts(spark):
+    text = " ".join(["x"] * 40 + ["Zoe"] + ["y"] * 40 + ["Max"] + ["Zoe"])
+    docs = spark.createDataFrame([(1, text), (2, "Al"), (3, ""), (4, None)], "doc_id long, text string")
+    pieces = docs.filter("doc_id = 1").select(inference.chunks(F.col("text"), 30, 10).alias("c")).first()["c"]
+    assert "".join([pieces[0]] + [p[10:] for p in pieces[1:]]) == text
+    assert all(len(p) == 30 for p in pieces[:-1])
+    found = inference.infer_pii(docs, loud_model, chunk_chars=30, overlap_chars=10)
+    # A value cut by the edge of a piece is masked in part as well as whole.
+    names = list(dict.fromkeys(w for p in pieces for w in re.findall("[A-Z][a-z]+", p)))
+    assert {"Zoe", "Max"} <= set(names)
+    assert rows(found.select("doc_id", "pii.human_name", "detect_status"), "doc_id") == [
+        (1, names, None), (2, ["Al"], None), (3, [], None), (4, [], "failed")]
