@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from maskwright.functions.text import is_blank
-from maskwright.operators.joins import salted_join
+from maskwright.operators.joins import salted_join, skew_join
 from maskwright.session import durable
 
 START_BLOCK = 1024
@@ -142,7 +142,7 @@ def page_boxes(boxes, page_dim, key="doc_id"):
     Boxes on a page that `page_dim(doc_id, page, height)` does not list are out of
     range and dropped. Drawing needs them by page: sort or partition by `page`.
     """
-    joined = salted_join(
+    joined = skew_join(
         boxes, page_dim.select(key, "page", "height"), [key, "page"], ["x", "y"], "inner"
     )
     return joined.withColumn("y", F.col("height") - F.col("y") - F.col("h")).drop("height")

@@ -12,8 +12,9 @@ A value counts when the text contains it literally. Two ways give the same rows:
 from pyspark.sql import functions as F
 
 from maskwright.functions.entities import empty_list, pii_struct
-from maskwright.operators.joins import salted_join
+from maskwright.operators.joins import salted_join, skew_join
 from maskwright.schema import KINDS
+from maskwright.session import durable
 
 INLINE_VALUES = 512
 INLINE_BYTES = 256 * 1024
@@ -90,7 +91,7 @@ def anchors(entries):
         grams = F.when(F.col("size") == n, _grams(F.col("value"), n)).otherwise(grams)
     spelled = sized.withColumn("gram", F.explode(F.array_distinct(grams)))
     shared = spelled.groupBy("size", "gram").agg(F.count(F.lit(1)).alias("shared"))
-    counted = salted_join(spelled, shared, ["size", "gram"], ["kind", "value"])
+    counted = skew_join(spelled, shared, ["size", "gram"], ["kind", "value"], "inner", shared.withColumnRenamed("shared", "n"))
     return counted.groupBy("size", "kind", "value").agg(
         F.min(F.struct("shared", "gram"))["gram"].alias("gram")
     )
@@ -122,7 +123,9 @@ def _by_grams(docs, entries, id_col, text_col, small):
     candidates = pairs.groupBy(id_col).agg(
         F.collect_list(F.struct("kind", "value")).alias("_candidates")
     )
-    joined = docs.join(candidates, id_col, "left")
+    # Written first: with its true size known, few candidates are broadcast and the
+    # documents stay where they are.
+    joined = docs.join(durable(docs.sparkSession, candidates, "candidates"), id_col, "left")
     found = F.filter(F.col("_candidates"), lambda c: F.contains(text, c["value"]))
 
     def of_kind(kind):

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from maskwright.functions.answers import STOP_MARKS, build_prompt, read_answer
 from maskwright.functions.entities import empty_list, pii_struct
-from maskwright.operators.joins import salted_join
+from maskwright.operators.joins import skew_join
 from maskwright.schema import FAILED, KINDS, PARSE_FAILED
 from maskwright.session import durable
 
@@ -50,20 +50,25 @@ def infer_raw(texts, make_model, batch_size=16, strip_control=False):
     return texts.withColumn("raw", ask(build_prompt(F.col("text"), strip_control)))
 
 
-def _answers(pieces, make_model, batch_size, strip_control, dedupe):
-    """`pieces` with the raw answer to each text.
+def _answered(pieces, spread_by, make_model, batch_size, strip_control):
+    """`pieces` with the `raw` answer to each text, null where there is none.
 
     Equal texts are asked once. The answers are written before they are used, so
     that no model call is repeated, or answered differently, by a later stage.
     """
-    spark = pieces.sparkSession
-    asked = pieces.filter(F.col("text").isNotNull()).select("text")
-    if dedupe:
-        asked = asked.distinct()
+    asked = pieces.filter(F.col("text").isNotNull()).groupBy("text").agg(
+        F.count(F.lit(1)).alias("n")
+    )
     answers = infer_raw(asked, make_model, batch_size, strip_control).select(
-        F.sha2("text", 256).alias("_key"), "raw"
+        F.sha2("text", 256).alias("_key"), "raw", "n"
     )
-    return durable(spark, answers, "answers")
+    known = durable(pieces.sparkSession, answers, "answers")
+    # Rows without a text find no answer; their keys differ, so they stay apart.
+    unasked = F.concat(F.lit("-"), F.xxhash64(*spread_by).cast("string"))
+    keyed = pieces.withColumn("_key", F.coalesce(F.sha2("text", 256), unasked))
+    return skew_join(
+        keyed, known.drop("n"), ["_key"], spread_by, counts=known.select("_key", "n")
+    ).drop("_key")
 
 
 def infer_pii(
@@ -82,10 +87,10 @@ def infer_pii(
             docs, make_model, id_col, batch_size, chunk_chars, overlap_chars, strip_control
         )
     fits = F.lit(True) if max_chars is None else F.length(text) <= max_chars
-    pieces = docs.select(F.when(fits, text).alias("text"))
-    answers = _answers(pieces, make_model, batch_size, strip_control, dedupe=True)
-    keyed = docs.withColumn("_key", F.when(fits, F.sha2("text", 256)))
-    joined = salted_join(keyed, answers, ["_key"], [id_col])
+    # A text that is not asked about stands aside while the others are answered.
+    pieces = docs.withColumn("_whole", text).withColumn("text", F.when(fits, text))
+    joined = _answered(pieces, [id_col], make_model, batch_size, strip_control)
+    joined = joined.withColumn("text", F.col("_whole"))
     read = joined.withColumn("_read", read_answer(F.col("raw")))
     failed = F.col("raw").isNull()
     out = read.withColumn("pii", F.when(failed, pii_struct()).otherwise(F.col("_read.pii")))
@@ -107,16 +112,13 @@ def chunks(text, size, overlap):
 
 
 def _infer_chunks(docs, make_model, id_col, batch_size, size, overlap, strip_control):
-    spark = docs.sparkSession
     text = F.col("text")
     pieces = docs.filter(text.isNotNull()).select(
         id_col, F.posexplode_outer(chunks(text, size, overlap)).alias("chunk", "text")
     )
-    answers = _answers(pieces, make_model, batch_size, strip_control, dedupe=True)
-    keyed = pieces.select(id_col, "chunk", F.sha2("text", 256).alias("_key"))
-    read = salted_join(keyed, answers, ["_key"], [id_col, "chunk"]).withColumn(
-        "_read", read_answer(F.col("raw"))
-    )
+    spread_by = [id_col, "chunk"]
+    answered = _answered(pieces, spread_by, make_model, batch_size, strip_control)
+    read = answered.drop("text").withColumn("_read", read_answer(F.col("raw")))
 
     def union_of(kind):
         lists = F.array_sort(F.collect_list(F.struct("chunk", F.col("_read.pii")[kind].alias("v"))))

@@ -1,24 +1,76 @@
-"""Equi join that holds up when one key has a large share of the rows."""
+"""Equi joins that hold up when one key has a large share of the rows."""
+
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import functions as F
 
 DEFAULT_SALTS = 16
 
+# A key is hot with more rows than HOT_ROWS. At most HOT_KEYS of them are treated:
+# any key beyond the HOT_KEYS largest has less than 1 / HOT_KEYS of all rows.
+HOT_ROWS = 100_000
+HOT_KEYS = 1000
+HOT_SALTS = 64
+
+
+def _salt(spread_by, salts):
+    return F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
+
+
+def _right_only_broadcast(right, how):
+    """Only `right` may be broadcast, by adaptive execution and once its size has
+    been measured. An inner join is asked to sort and merge instead: there the
+    planner could also broadcast the left side, whose size it guesses far too low
+    when its rows come out of an explode."""
+    return right.hint("merge") if how == "inner" else right
+
 
 def salted_join(left, right, keys, spread_by, how="left", salts=DEFAULT_SALTS):
     """`left.join(right, keys, how)` with every key split over `salts` tasks.
 
-    Rows of `left` are spread by the columns `spread_by`; `right`, the smaller side,
-    is repeated once per salt. For `how` only `left`, `inner`, `left_semi` and
-    `left_anti` make sense.
-
-    Only `right` may be broadcast, by adaptive execution and once its size has been
-    measured. An inner join is asked to sort and merge instead: there the planner
-    could also broadcast `left`, whose size it guesses far too low when its rows
-    come out of an explode.
+    For a `right` that is small next to `left`, as it is repeated once per salt:
+    a dictionary, or the phrases to look for. `left` is read once. Rows of `left`
+    are spread by the columns `spread_by`. `how` is `left`, `inner` or `left_semi`.
     """
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
     repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    if how == "inner":
-        repeated = repeated.hint("merge")
-    return left.withColumn("_salt", salt).join(repeated, [*keys, "_salt"], how).drop("_salt")
+    salted = left.withColumn("_salt", _salt(spread_by, salts))
+    return salted.join(_right_only_broadcast(repeated, how), [*keys, "_salt"], how).drop("_salt")
+
+
+def hot_keys(counts, keys):
+    """The hot ones of `counts(keys…, n)`, as a DataFrame of at most HOT_KEYS rows,
+    or None. Taking the largest keys leaves no key with more than its 1 / HOT_KEYS
+    of the rows untreated."""
+    known = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    largest = (
+        counts.filter(known & (F.col("n") > HOT_ROWS)).orderBy(F.desc("n")).limit(HOT_KEYS)
+        .select(*keys)
+    )
+    rows = largest.collect()
+    return counts.sparkSession.createDataFrame(rows, largest.schema) if rows else None
+
+
+def skew_join(left, right, keys, spread_by, how="left", counts=None):
+    """`left.join(right, keys, how)` with hot keys, and only those, split.
+
+    The rows per key are counted first, on the key columns alone; `counts(keys…, n)`
+    saves that where they are known. Rows of `left` with a hot key are spread by
+    `spread_by` over HOT_SALTS tasks, and `right` is repeated for hot keys only, so
+    it may be as large as `left`. Without a hot key this is a plain join. Keys of
+    `left` should not be null: such rows match nothing, yet meet in one task.
+    """
+    if counts is None:
+        counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    hot = hot_keys(counts, keys)
+    if hot is None:
+        return left.join(_right_only_broadcast(right, how), keys, how)
+    # At most HOT_KEYS rows.
+    marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    salt = F.when(F.col("_hot"), _salt(spread_by, HOT_SALTS)).otherwise(F.lit(0))
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(
+        F.array(F.lit(0))
+    )
+    spread = left.join(marked, keys, "left").withColumn("_salt", salt).drop("_hot")
+    repeated = right.join(marked, keys, "left").withColumn("_salt", F.explode_outer(salts)).drop("_hot")
+    return spread.join(_right_only_broadcast(repeated, how), [*keys, "_salt"], how).drop("_salt")

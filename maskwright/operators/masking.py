@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from maskwright.functions.entities import apply_masks, entities_distinct, mask_cell, mask_pairs
-from maskwright.operators.joins import salted_join
+from maskwright.operators.joins import skew_join
 
 
 def redact_documents(docs, text="text", values="values"):
@@ -29,13 +29,13 @@ def redact_segments(segments, text="text", values="values"):
 def redact_segments_by_list(segments, lists, key="path", spread_by=("part", "para", "seg")):
     """The same with the lists in a table `(key, values)`, one row per document.
 
-    Only documents that have values take part, with their masks ready made, and
-    the runs of a long document are spread over several tasks.
+    Only documents that have values take part, with their masks ready made; the
+    runs of a document with very many of them are spread over several tasks.
     """
     pairs = lists.select(key, mask_pairs(F.col("values")).alias("_pairs")).filter(
         F.size("_pairs") > 0
     )
-    joined = salted_join(segments, pairs, [key], spread_by)
+    joined = skew_join(segments, pairs, [key], spread_by)
     masked = joined.withColumn("masked_text", apply_masks(F.col("text"), F.col("_pairs")))
     changed = F.coalesce(F.col("masked_text") != F.col("text"), F.lit(False))
     return masked.withColumn("changed", changed).drop("_pairs")

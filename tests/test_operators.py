@@ -6,11 +6,38 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from maskwright.operators import assembly, boxes, cells, entities, gazetteer, inference, masking
+from maskwright.operators import assembly, boxes, cells, entities, gazetteer, inference, joins, masking
 from maskwright.plans import detectors
 from maskwright.plans.mask_documents import mask_documents
 
 
+def model_for_tests():
+    """Names every capitalised word; chokes on some texts, mumbles on others.
+
+    Made inside a function, so that it travels to the workers by value."""
+
+    def loud_model(stop, context_tokens, max_new_tokens):
+        import json
+        import re
+
+        assert (context_tokens, max_new_tokens) == (4096, 512)
+
+        def answer(prompt):
+            body = prompt.split("user\n", 1)[1].split(stop[0], 1)[0]
+            if "choke" in body:
+                raise RuntimeError("model")
+            if "mumble" in body:
+                return '{"human_name": "x"}'
+            return json.dumps({"human_name": re.findall(r"[A-Z][a-z]+", body)}) + stop[0]
+
+        return lambda prompts: [answer(p) for p in prompts]
+
+    return loud_model
+
+
+loud_model = model_for_tests()
+
+
 def rows(df, *order):
     return [tuple(r) for r in (df.orderBy(*order) if order else df).collect()]
 
@@ -30,6 +57,31 @@ def test_segments_split_value_stays(spark):
     assert rows(parts, "path") == [("d", 0, True), ("e", 0, False)]
 
 
+@pytest.mark.parametrize("how", ["left", "inner"])
+@pytest.mark.parametrize("hot_rows", [10, 10**9])
+def test_skew_join(spark, monkeypatch, how, hot_rows):
+    """One key with a third of the rows, some without a partner, and null keys."""
+    monkeypatch.setattr(joins, "HOT_ROWS", hot_rows)
+    keys = ["hot"] * 100 + ["warm"] * 30 + [f"k{i % 40}" for i in range(170)] + [None] * 20
+    left = spark.createDataFrame(list(enumerate(keys)), "id int, k string")
+    right = spark.createDataFrame([("hot", 1), ("warm", 2), ("k3", 3), ("k3", 4), (None, 5)], "k string, v int")
+    got = joins.skew_join(left, right, ["k"], ["id"], how).select("id", "k", "v")
+    want = left.join(right, "k", how).select("id", "k", "v")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    counts = left.groupBy("k").agg(F.count("*").alias("n"))
+    hot = joins.hot_keys(counts, ["k"])
+    assert (sorted(r["k"] for r in hot.collect()) if hot else []) == (["hot", "warm"] if hot_rows == 10 else [])
+
+
+def test_hot_copies_are_asked_once(spark, monkeypatch):
+    monkeypatch.setattr(joins, "HOT_ROWS", 5)
+    texts = [(i, "Anna was here" if i % 3 else f"Bob {i}") for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = inference.infer_pii(docs, loud_model)
+    assert rows(found.select("doc_id", "text", "pii.human_name"), "doc_id") == [
+        (i, t, ["Anna"] if i % 3 else ["Bob"]) for i, t in texts]
+
+
 def test_mask_cells_and_counts(spark):
     df = spark.createDataFrame(
         [(1, "x tokyo", ["tokyo"]), (2, "Tokyo", ["tokyo"]), (3, None, ["tokyo"]), (4, "a", [])],
@@ -191,33 +243,6 @@ def test_combined_detectors_and_counts(spark):
     assert rows(entities.corpus_summary(long), "kind") == [("email_address", 2, 1, 1), ("human_name", 1, 1, 1)]
 
 
-def model_for_tests():
-    """Names every capitalised word; chokes on some texts, mumbles on others.
-
-    Made inside a function, so that it travels to the workers by value."""
-
-    def loud_model(stop, context_tokens, max_new_tokens):
-        import json
-        import re
-
-        assert (context_tokens, max_new_tokens) == (4096, 512)
-
-        def answer(prompt):
-            body = prompt.split("user\n", 1)[1].split(stop[0], 1)[0]
-            if "choke" in body:
-                raise RuntimeError("model")
-            if "mumble" in body:
-                return '{"human_name": "x"}'
-            return json.dumps({"human_name": re.findall(r"[A-Z][a-z]+", body)}) + stop[0]
-
-        return lambda prompts: [answer(p) for p in prompts]
-
-    return loud_model
-
-
-loud_model = model_for_tests()
-
-
 def test_infer_and_parse_errors(spark):
     texts = [(1, "Anna met Bob"), (2, "choke Carl"), (3, "mumble Dora"), (4, "Anna met Bob"), (5, None), (6, "Emil " * 30)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
