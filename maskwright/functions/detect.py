@@ -30,25 +30,31 @@ ADDRESS = (
 )
 
 
-def _matches(text, needles, pattern):
-    guard = reduce(or_, [F.contains(text, F.lit(needle)) for needle in needles])
+def _holds(text, needles):
+    return reduce(or_, [F.contains(text, F.lit(needle)) for needle in needles])
+
+
+def _matches(text, guard, pattern):
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     return F.when(guard, found).otherwise(empty_list())
 
 
 def detect_email(text):
-    return _matches(text, ["@"], EMAIL)
+    return _matches(text, _holds(text, ["@"]), EMAIL)
 
 
 def detect_phone(text):
-    runs = _matches(text, ["-"], PHONE)
+    runs = _matches(text, _holds(text, ["-"]), PHONE)
     return F.filter(
         runs, lambda v: F.contains(v, F.lit("(")) | F.rlike(v, F.lit(DOMESTIC_PHONE))
     )
 
 
 def detect_address(text):
-    return _matches(text, _PREFECTURE_MARKS + _STREET_TYPES, ADDRESS)
+    # ASCII texts, whose bytes are as many as their characters, skip the first four.
+    beyond_ascii = F.octet_length(text) > F.length(text)
+    guard = (beyond_ascii & _holds(text, _PREFECTURE_MARKS)) | _holds(text, _STREET_TYPES)
+    return _matches(text, guard, ADDRESS)
 
 
 def rule_pii(text):
