@@ -361,6 +361,7 @@ def resolve_nation_cells(spark, sf):
     found = d.table(spark, sf, "customer").select(
         F.lit("n.xlsx").alias("path"), F.lit(1).alias("sheet"), F.col("c_custkey").alias("cell_ord"),
         F.lit("s").alias("dtype"), F.col("c_nationkey").cast("string").alias("raw"),
+        F.lit(True).alias("has_sst"),
     )
     return flat(cells.resolve_cells(found, nation))
 
