@@ -1,53 +1,58 @@
 """Put text together again from rows of runs, cells or words.
 
-Each result is one string per document, so it has to fit in a row; the rows of a
-document are joined in two steps, by paragraph, slide, page or block of cells and
-then by document, so no task sorts all single runs of a long document.
+The result is one string per document, so it has to fit in a row. It is joined in
+two steps: first blocks of up to BLOCK neighbours, then the blocks of a document,
+so that a document, or a page of it, with very many rows is not sorted in one task
+row by row.
 """
 
 from pyspark.sql import functions as F
 
 from maskwright.functions.text import is_blank
 
-CELL_BLOCK = 1024
+BLOCK = 1024
 
 
-def _joined(rows, keys, order, piece, out):
-    """Concatenate `piece` per key, ordered by `order`."""
-    ordered = F.array_sort(
-        F.collect_list(F.struct(*order, F.coalesce(piece, F.lit("")).alias("_piece")))
+def _assemble(rows, key, group, at, piece, end=""):
+    """`(key, text)`: pieces in the order of `group` and `at`, and `end` after each
+    group. `at` counts up within a group; rows without one stand for an empty group."""
+    block = F.coalesce(F.floor(F.col(at) / BLOCK), F.lit(0)).cast("long").alias("_block")
+    ordered = F.array_sort(F.collect_list(F.struct(at, F.coalesce(piece, F.lit("")).alias("p"))))
+    blocks = rows.groupBy(key, group, block).agg(
+        F.array_join(F.transform(ordered, lambda row: row["p"]), "").alias("_text")
+    )
+    whole = blocks.groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct(group, "_block", "_text"))).alias("_blocks")
     )
-    text = F.array_join(F.transform(ordered, lambda x: x["_piece"]), "")
-    return rows.groupBy(*keys).agg(text.alias(out))
 
+    def with_end(row, i):
+        following = F.get("_blocks", i + 1)
+        closes = following.isNull() | (following[group] != row[group])
+        return F.concat(row["_text"], F.when(closes, F.lit(end)).otherwise(F.lit("")))
 
-def assemble_docx(segments, key="path"):
-    """Runs of a paragraph joined with nothing; newline after every paragraph."""
-    paragraphs = _joined(segments, [key, "para"], ["seg"], F.col("text"), "_text")
-    return _joined(
-        paragraphs, [key], ["para"], F.concat("_text", F.lit("\n")), "text"
-    )
+    return whole.select(key, F.array_join(F.transform("_blocks", with_end), "").alias("text"))
 
 
 def _spaced(text):
     return F.when(~is_blank(text), F.concat(text, F.lit(" ")))
 
 
+def assemble_docx(segments, key="path"):
+    """Runs of a paragraph joined with nothing; newline after every paragraph."""
+    return _assemble(segments, key, "para", "seg", F.col("text"), "\n")
+
+
 def assemble_pptx(segments, key="path"):
-    """Non-blank runs each followed by one space; newline after each slide."""
-    slides = _joined(segments, [key, "part"], ["para", "seg"], _spaced(F.col("text")), "_text")
-    return _joined(slides, [key], ["part"], F.concat("_text", F.lit("\n")), "text")
+    """Non-blank runs each followed by one space; newline after each slide.
+    `seg` counts the runs of a slide."""
+    return _assemble(segments, key, "part", "seg", _spaced(F.col("text")), "\n")
 
 
 def assemble_xlsx(cells, key="path"):
     """Non-blank cell texts each followed by one space, all sheets."""
-    block = F.floor(F.col("cell_ord") / CELL_BLOCK).alias("_block")
-    blocks = _joined(cells.withColumn("_block", block), [key, "sheet", "_block"],
-                     ["cell_ord"], _spaced(F.col("text")), "_text")
-    return _joined(blocks, [key], ["sheet", "_block"], F.col("_text"), "text")
+    return _assemble(cells, key, "sheet", "cell_ord", _spaced(F.col("text")))
 
 
 def assemble_words(words, key="doc_id"):
     """Each word followed by one space; newline after each page."""
-    pages = _joined(words, [key, "page"], ["pos"], F.concat("word", F.lit(" ")), "_text")
-    return _joined(pages, [key], ["page"], F.concat("_text", F.lit("\n")), "text")
+    return _assemble(words, key, "page", "pos", F.concat("word", F.lit(" ")), "\n")

@@ -15,6 +15,8 @@ def build_session(app_name="maskwright", master=None, conf=None):
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # Many small files per task: with the default of 4 MB a task gets about 32.
+        "spark.sql.files.openCostInBytes": str(256 * 1024),
         **(conf or {}),
     }
     for key, value in settings.items():

@@ -129,7 +129,9 @@ def test_assemble(spark):
     assert rows(assembly.assemble_words(words)) == [(1, "a b \nc \n")]
 
 
-def test_order_survives_repartition(spark):
+@pytest.mark.parametrize("block", [4, 1024])
+def test_order_survives_repartition(spark, monkeypatch, block):
+    monkeypatch.setattr(assembly, "BLOCK", block)
     many = [("p", 0, para, seg, f"{para}.{seg};") for para in range(60) for seg in range(30)]
     random.Random(1).shuffle(many)
     df = spark.createDataFrame(many, "path string, part int, para int, seg int, text string").repartition(7)
