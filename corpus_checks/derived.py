@@ -11,7 +11,7 @@ from corpus_checks import office_files
 from maskwright.plans.mask_documents import detect_values
 from maskwright.session import work_path
 from maskwright.sources.sinks import write_files
-from maskwright.sources.tables import documents_source, spread_small
+from maskwright.sources.tables import documents_source
 
 SLIDE_LINES = office_files.SLIDE_LINES
 SHARED_FROM = office_files.SHARED_FROM

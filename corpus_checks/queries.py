@@ -14,6 +14,7 @@ from maskwright.plans.mask_documents import detect_values, mask_documents, outco
 from maskwright.schema import FAILED, KINDS
 from maskwright.session import durable, work_path
 from maskwright.sources import files, office, sinks
+from maskwright.sources.tables import spread_small
 from maskwright.streaming.mask_stream import mask_document_stream, mask_file_stream
 
 LIST_MARK = "\x1f"
@@ -212,7 +213,7 @@ def _detector(rule, name):
 
 
 def _page_emails(spark, sf):
-    pages = d.spread_small(spark, d.table(spark, sf, "pages").select("page_id", "html"), "page_id")
+    pages = spread_small(spark, d.table(spark, sf, "pages").select("page_id", "html"), "page_id")
     return flat(pages.select("page_id", detect.detect_email(F.col("html")).alias("email_address")))
 
 

@@ -3,11 +3,10 @@
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from corpus_checks import derived
 from corpus_checks.queries import QUERIES
-from maskwright.operators import boxes, entities, masking
+from maskwright.operators import entities, masking
 from maskwright.plans.mask_corpus import mask_corpus
 from maskwright.plans.mask_documents import detect_values, mask_documents
 from maskwright.sources import files
