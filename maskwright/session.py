@@ -1,5 +1,7 @@
 """Session helpers: the shared work folder and the settings the jobs like."""
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -24,6 +26,19 @@ def build_session(app_name="maskwright", master=None, conf=None):
     return builder.getOrCreate()
 
 
+_shipped = set()
+
+
+def ship_packages(spark, root, packages):
+    """Send packages below `root` to the Python workers, once per application."""
+    for package in packages:
+        mark = (spark.sparkContext.applicationId, package)
+        if mark not in _shipped:
+            base = os.path.join(tempfile.mkdtemp(prefix="ship-"), package)
+            spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", root_dir=root, base_dir=package))
+            _shipped.add(mark)
+
+
 def work_root(spark):
     """The shared folder named by `spark.checkpoint.dir`.
 
