@@ -3,6 +3,7 @@
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyspark.sql.types as T
+import xxhash
 from pyspark.sql import functions as F
 
 from maskwright.session import work_root
@@ -111,3 +112,53 @@ def written(df):
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(work_root(df.sparkSession))
     return df.checkpoint()
+
+
+def labelled_sample(docs, labels, key, label, limit, text="text"):
+    """(key, text, label) of at most about `limit` rows of each label.
+
+    `labels` holds the keys and labels to learn from; rows without a label or text are
+    left out, and of near copies one stays. The rows are picked by a hash of the key, so their number is bounded in
+    expectation by `limit` times the number of labels; that is why their keys may be
+    broadcast.
+    """
+    known = labels.select(F.col(key), F.col(label).cast("int").alias("label")).where(
+        F.col(label).isNotNull() & F.col(key).isNotNull())
+    picked, counts = even_sample(known, key, limit, "label")
+    rows = docs.select(key, text).where(F.col(text).isNotNull()).join(F.broadcast(picked), key)
+    for seed in (1, 2, 3):
+        rows = _one_of_alike(rows, key, text, seed)
+    return rows.select(key, text, "label"), counts
+
+
+def _one_of_alike(rows, key, text, seed):
+    """One row of those of a label whose texts share the least hash of five-word runs: a large
+    group of near copies must not teach its own words."""
+    from maskwright.llm.simhash import shingles
+
+    def least(texts: pa.Array) -> pa.Array:
+        return pa.array([min((xxhash.xxh64_intdigest(run, seed) for run in shingles(t.encode("utf-8"), 5)), default=0) >> 1
+                         for t in texts.to_pylist()], pa.int64())
+
+    marked = rows.withColumn("_alike", F.arrow_udf(least, "long")(F.col(text)))
+    return marked.groupBy("_alike", "label").agg(
+        F.min_by(F.struct(*rows.columns), F.xxhash64(key)).alias("row")).select("row.*")
+
+
+def logistic(x, y, weight=None, ridge=1e-3, rounds=50):
+    """Weights of a ridge logistic regression by Newton's steps; the last one is the intercept."""
+    import numpy as np
+
+    x = np.hstack([np.asarray(x, float), np.ones((len(x), 1))])
+    y, weight = np.asarray(y, float), np.ones(len(x)) if weight is None else np.asarray(weight, float)
+    w = np.zeros(x.shape[1])
+    penalty = ridge * np.eye(len(w)) * max(1.0, weight.sum())
+    penalty[-1, -1] = 1e-9
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + penalty + 1e-9 * np.eye(len(w)),
+                               x.T @ (weight * (p - y)) + penalty @ w)
+        w = w - step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w

@@ -1,11 +1,40 @@
 """One query per operator of this subpackage, over whole tables; SQL where it can say the same."""
 
 from maskwright.llm.byte_bpe import op8_byte_bpe
+from maskwright.llm.decontamination import op7_decontamination
+from maskwright.llm.fingerprints import op10_fingerprints
+from maskwright.llm.html_extraction import op3_html
+from maskwright.llm.language import op5_language
+from maskwright.llm.quality import op6_quality
 from maskwright.llm.simhash import op2_simhash
+from maskwright.llm.token_counts import op1_token_counts
+from maskwright.llm.toxicity import op9_toxicity
+from maskwright.llm.warc import op4_warc
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op2_simhash": op2_simhash,
+    "op3_html": op3_html,
+    "op4_warc": op4_warc,
+    "op5_language": op5_language,
+    "op6_quality": op6_quality,
+    "op7_decontamination": op7_decontamination,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_toxicity": op9_toxicity,
+    "op10_fingerprints": op10_fingerprints,
 }
 
-ORACLES = {}
+ORACLES = {
+    # DuckDB's sha1 works on the text's bytes
+    "op4_warc": """
+        WITH records AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+            FROM pages),
+        kept AS (
+            SELECT payload_digest, max(page_id) AS kept FROM records WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+        SELECT page_id, payload_bytes, records.payload_digest,
+            CASE WHEN kept > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN kept > page_id THEN kept END AS refers_to
+        FROM records LEFT JOIN kept ON kept.payload_digest = records.payload_digest AND payload_bytes >= 1000
+    """,
+}
