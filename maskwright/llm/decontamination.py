@@ -1,6 +1,6 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-An item may occur in a text with up to 8 % of its length in edits. With k edits
+An item may occur in a text with up to a tenth of its length in edits. With k edits
 allowed an item is cut into k + 1 pieces, of which one must occur unchanged; an
 Aho-Corasick automaton finds all pieces of a block of items in one pass over a text.
 A hit is verified from the piece upwards, over ever longer runs of neighbouring pieces
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from maskwright.llm.common import map_texts, steps, table
 
 #: Edits allowed, as a share of an item's length.
-BUDGET = 0.08
+BUDGET = 0.1
 #: Characters of item text that one task holds at once.
 BLOCK_CHARS = 1 << 20
 
