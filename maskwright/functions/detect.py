@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 from maskwright.functions.entities import empty_list, pii_struct
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+# The same values in one pass: a match starts at the start of a run (or after a match)
+# and takes its characters for good, where EMAIL tries again from each character.
+_EMAIL_ONCE = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
 # A bracketed area code, or a whole run of hyphenated digits; of the runs only
 # those shaped like a domestic number with trunk prefix 0 are kept.
 PHONE = r"\+?\d{0,2} ?\(\d{3}\) ?\d{3}-\d{4}|\d+(?:-\d+)+"
+_PHONE_ONCE = r"\+?\d{0,2} ?\(\d{3}\) ?\d{3}-\d{4}|(?:\G|(?<!\d))\d++(?:-\d++)++"
 DOMESTIC_PHONE = r"^0\d{1,4}-\d{1,4}-\d{4}$"
 
 # Prefecture, municipality and block numbers; or number, street name, street type.
@@ -40,11 +44,12 @@ def _matches(text, guard, pattern):
 
 
 def detect_email(text):
-    return _matches(text, _holds(text, ["@"]), EMAIL)
+    return _matches(text, _holds(text, ["@"]), _EMAIL_ONCE)
 
 
 def detect_phone(text):
-    runs = _matches(text, _holds(text, ["-"]), PHONE)
+    guard = _holds(text, ["-"]) & (_holds(text, ["("]) | F.rlike(text, F.lit(r"\d-\d")))
+    runs = _matches(text, guard, _PHONE_ONCE)
     return F.filter(
         runs, lambda v: F.contains(v, F.lit("(")) | F.rlike(v, F.lit(DOMESTIC_PHONE))
     )

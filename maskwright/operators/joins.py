@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 DEFAULT_SALTS = 16
 
-# A key is hot with more rows than HOT_ROWS. At most HOT_KEYS of them are treated:
-# any key beyond the HOT_KEYS largest has less than 1 / HOT_KEYS of all rows.
+# A key is hot with more rows than HOT_ROWS, and is split into parts of about that size.
 HOT_ROWS = 100_000
-HOT_KEYS = 1000
-HOT_SALTS = 64
+# Null keys match nothing and are only spread.
+NULL_SALTS = 4096
 
 
 def _salt(spread_by, salts):
@@ -39,38 +38,36 @@ def salted_join(left, right, keys, spread_by, how="left", salts=DEFAULT_SALTS):
 
 
 def hot_keys(counts, keys):
-    """The hot ones of `counts(keys…, n)`, as a DataFrame of at most HOT_KEYS rows,
-    or None. Taking the largest keys leaves no key with more than its 1 / HOT_KEYS
-    of the rows untreated."""
+    """The hot ones of `counts(keys…, n)` with `_parts`, the number of tasks that each is
+    split over: as many as its rows ask for."""
     known = reduce(and_, [F.col(k).isNotNull() for k in keys])
-    largest = (
-        counts.filter(known & (F.col("n") > HOT_ROWS)).orderBy(F.desc("n")).limit(HOT_KEYS)
-        .select(*keys)
-    )
-    rows = largest.collect()
-    return counts.sparkSession.createDataFrame(rows, largest.schema) if rows else None
+    return counts.filter(known & (F.col("n") > HOT_ROWS)).select(
+        *keys, F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("_parts"))
 
 
 def skew_join(left, right, keys, spread_by, how="left", counts=None):
-    """`left.join(right, keys, how)` with hot keys, and only those, split.
-
-    The rows per key are counted first, on the key columns alone; `counts(keys…, n)`
-    saves that where they are known. Rows of `left` with a hot key are spread by
-    `spread_by` over HOT_SALTS tasks, and `right` is repeated for hot keys only, so
-    it may be as large as `left`. Without a hot key this is a plain join. Keys of
-    `left` should not be null: such rows match nothing, yet meet in one task.
+    """`left.join(right, keys, how)` that no large key holds up.
+
+    Rows of `left` with a null key, which match nothing, are kept apart: a left join
+    passes them on, any other drops them. The rest is an ordinary sort-merge join, whose
+    large partitions adaptive execution splits by measured size, with no pass over `left`
+    before. Where `counts(keys…, n)` of `left` are known, hot keys are split by them
+    instead: rows of such a key go by `spread_by` to as many tasks as it fills, and its
+    rows of `right` to each of these; all other keys keep one place.
     """
+    known = reduce(and_, [F.col(k).isNotNull() for k in keys])
     if counts is None:
-        counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        null = F.when(~known, _salt(spread_by, NULL_SALTS)).otherwise(F.lit(-1))
+        spread = left.withColumn("_salt", null)
+        fixed = right.withColumn("_salt", F.lit(-1))
+        return spread.join(_right_only_broadcast(fixed, how), [*keys, "_salt"], how).drop("_salt")
     hot = hot_keys(counts, keys)
-    if hot is None:
-        return left.join(_right_only_broadcast(right, how), keys, how)
-    # At most HOT_KEYS rows.
-    marked = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    salt = F.when(F.col("_hot"), _salt(spread_by, HOT_SALTS)).otherwise(F.lit(0))
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(
-        F.array(F.lit(0))
-    )
-    spread = left.join(marked, keys, "left").withColumn("_salt", salt).drop("_hot")
-    repeated = right.join(marked, keys, "left").withColumn("_salt", F.explode_outer(salts)).drop("_hot")
+    parts = F.coalesce(F.col("_parts"), F.when(known, F.lit(1)).otherwise(F.lit(NULL_SALTS)))
+    spread = left.join(hot, keys, "left").withColumn("_salt", _pmod_salt(spread_by, parts)).drop("_parts")
+    repeated = right.join(hot, keys, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     return spread.join(_right_only_broadcast(repeated, how), [*keys, "_salt"], how).drop("_salt")
+
+
+def _pmod_salt(spread_by, parts):
+    return F.pmod(F.xxhash64(*spread_by), parts.cast("long")).cast("int")

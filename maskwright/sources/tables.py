@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 def documents_source(spark, path, id_col="doc_id", text_col="text", keep=()):
     """Read `(doc_id, text)` and the columns in `keep` from parquet.
 
-    Only those columns are read. Input that is too small to fill the cores with
-    ordinary file splits (one small file, say) is spread by its key; larger input
-    already comes in many splits and is left as it lies.
+    Only those columns are read. Input of a few file splits (one small file, say) is
+    spread by its key; larger input already comes in many splits and is left as it lies.
     """
     df = spark.read.parquet(path).select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *keep
@@ -16,9 +15,12 @@ def documents_source(spark, path, id_col="doc_id", text_col="text", keep=()):
     return spread_small(spark, df, "doc_id")
 
 
+#: Fewer splits than this are too few for a cluster, and little enough to be shuffled.
+FEW_SPLITS = 32
+
+
 def spread_small(spark, df, key):
-    """Repartition input of less than one file split per core; else no shuffle."""
+    """Repartition input that comes in fewer than FEW_SPLITS splits, if that is less than
+    one per core; else no shuffle, however many cores there are."""
     cores = spark.sparkContext.defaultParallelism
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores, key) if size < cores * split else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < min(cores, FEW_SPLITS) else df

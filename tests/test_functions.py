@@ -1,5 +1,7 @@
 """Golden cases of the column functions."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,3 +160,13 @@ def test_mask_cell(spark, given, values, want):
 ])
 def test_detectors(spark, rule, given, want):
     assert one(spark, rule(F.col("t")), t=given) == want
+
+
+def test_detectors_take_one_pass_over_long_runs(spark):
+    runs = ["x" * 1_000_000 + " a@b.co", "1" * 1_000_000 + " 03-1234-5678", "a." * 500_000 + "@", "1-" * 300_000, "a@" + "b" * 1_000_000]
+    df = spark.createDataFrame([(r,) for r in runs], "text string").repartition(1).cache()
+    df.count()
+    begin = time.perf_counter()
+    got = df.select(detect.detect_email(F.col("text")).alias("e"), detect.detect_phone(F.col("text")).alias("p")).collect()
+    assert time.perf_counter() - begin < 10
+    assert sorted(v for r in got for v in r["e"] + r["p"]) == ["03-1234-5678", "a@b.co"]

@@ -65,16 +65,16 @@ def test_skew_join(spark, monkeypatch, how, hot_rows):
     keys = ["hot"] * 100 + ["warm"] * 30 + [f"k{i % 40}" for i in range(170)] + [None] * 20
     left = spark.createDataFrame(list(enumerate(keys)), "id int, k string")
     right = spark.createDataFrame([("hot", 1), ("warm", 2), ("k3", 3), ("k3", 4), (None, 5)], "k string, v int")
-    got = joins.skew_join(left, right, ["k"], ["id"], how).select("id", "k", "v")
     want = left.join(right, "k", how).select("id", "k", "v")
-    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
     counts = left.groupBy("k").agg(F.count("*").alias("n"))
-    hot = joins.hot_keys(counts, ["k"])
-    assert (sorted(r["k"] for r in hot.collect()) if hot else []) == (["hot", "warm"] if hot_rows == 10 else [])
+    for known in (None, counts):
+        got = joins.skew_join(left, right, ["k"], ["id"], how, known).select("id", "k", "v")
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    hot = {r["k"]: r["_parts"] for r in joins.hot_keys(counts, ["k"]).collect()}
+    assert hot == ({"hot": 10, "warm": 3} if hot_rows == 10 else {})
 
 
-def test_hot_copies_are_asked_once(spark, monkeypatch):
-    monkeypatch.setattr(joins, "HOT_ROWS", 5)
+def test_hot_copies_are_asked_once(spark):
     texts = [(i, "Anna was here" if i % 3 else f"Bob {i}") for i in range(60)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     found = inference.infer_pii(docs, loud_model)
