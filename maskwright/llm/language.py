@@ -25,7 +25,7 @@ CENTROIDS = 4
 SAMPLE = 600
 #: Rejection bound: this share of the lowest cosines of a language's sample, times a margin.
 REJECT_QUANTILE = 0.001
-REJECT_MARGIN = 0.5
+REJECT_MARGIN = 0.3
 ROWS = 512
 UNKNOWN = "und"
 #: ASCII bytes that are no letters become blanks.
