@@ -358,3 +358,8 @@ ORACLES["infer_pii_chunks"] = f"""WITH cut AS (SELECT doc_id, {_PIECES} AS piece
     {flat(_in_pieces(emails('c')))} AS email_address, '' AS human_name,
     {flat(_in_pieces(f"list_filter(regexp_extract_all(c, '{PHONE}'), lambda p: contains(p, '('))"))} AS phone_number FROM cut"""
 ORACLES["mask_stream"] = ORACLES["mask_documents"]
+ORACLES["mask_stream_by_model"] = ORACLES["mask_documents_by_model"]
+ORACLES["mask_stream_by_dictionary"] = ORACLES["mask_documents_by_dictionary"]
+ORACLES["mask_file_stream_to_files"] = ORACLES["mask_corpus"]
+ORACLES["unreadable_packages"] = f"""SELECT {path(EXT)} AS path, lower({EXT}) AS ext, true AS has_error
+    FROM documents WHERE source = 'src1' AND {EXT} <> '.TXT'"""

@@ -15,7 +15,9 @@ from maskwright.schema import FAILED, KINDS
 from maskwright.session import durable, work_path
 from maskwright.sources import files, office, sinks
 from maskwright.sources.tables import spread_small
-from maskwright.streaming.mask_stream import mask_document_stream, mask_file_stream
+from maskwright.streaming.mask_stream import (
+    mask_document_batches, mask_document_stream, mask_file_stream, mask_files_to_files,
+)
 
 LIST_MARK = "\x1f"
 
@@ -110,6 +112,17 @@ def xlsx_shared_strings(spark, sf):
     return flat(sst)
 
 
+def _cut_short(rows):
+    """The office files of one source are cut short."""
+    broken = (F.col("source") == "src1") & (F.col("ext") != ".txt")
+    return rows.withColumn("content", F.when(broken, F.substring("content", 1, 100)).otherwise(F.col("content")))
+
+
+def unreadable_packages(spark, sf):
+    found = office.unreadable_packages(_cut_short(d.file_rows(spark, sf)))
+    return found.select("path", "ext", (F.length("error") > 0).alias("has_error"))
+
+
 def read_any(spark, sf):
     return files.read_any(d.file_rows(spark, sf)).select("path", "text", "error")
 
@@ -423,22 +436,47 @@ def mask_corpus_query(spark, sf):
 
 
 def isolate_failures(spark, sf):
-    """The office files of one source are cut short."""
-    rows = d.file_rows(spark, sf)
-    broken = (F.col("source") == "src1") & (F.col("ext") != ".txt")
-    content = F.when(broken, F.substring("content", 1, 100)).otherwise(F.col("content"))
-    out = mask_corpus(rows.withColumn("content", content))
+    out = mask_corpus(_cut_short(d.file_rows(spark, sf)))
     return out.select("path", "status", "n_values", "text_len", (F.col("status") == FAILED).alias("has_error"))
 
 
-def mask_stream(spark, sf):
+def _arriving(spark, sf):
     schema = d.table(spark, sf, "documents").select("doc_id", "text").schema
-    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    return spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+
+
+def mask_stream(spark, sf):
+    arriving = _arriving(spark, sf)
     sink = work_path(spark, "stream")
     mask_document_stream(arriving, sink, work_path(spark, "stream-log")).awaitTermination()
     return spark.read.parquet(sink)
 
 
+def _mask_batches(spark, sf, detect):
+    sink = work_path(spark, "stream")
+    mask_document_batches(_arriving(spark, sf), sink, work_path(spark, "stream-log"), detect=detect).awaitTermination()
+    return spark.read.parquet(sink).drop("batch")
+
+
+def mask_stream_by_model(spark, sf):
+    return _mask_batches(spark, sf, detectors.by_model(pattern_model))
+
+
+def mask_stream_by_dictionary(spark, sf):
+    by_grams = detectors.by_dictionary(d.dictionary(spark, sf), method="grams")
+    return _mask_batches(spark, sf, detectors.combined(detectors.by_rules(), by_grams))
+
+
+def mask_file_stream_to_files(spark, sf):
+    source = d.folder(spark, d.file_rows(spark, sf).select("path", "content"))
+    target = work_path(spark, "masked")
+    mask_files_to_files(
+        files.scan_stream(spark, source), target, work_path(spark, "report"), work_path(spark, "stream-log"), base=source
+    ).awaitTermination()
+    again = files.read_any(files.scan_files(spark, target))
+    return again.select(d.below(target).alias("path"), "text", "error")
+
+
 def mask_file_stream_query(spark, sf):
     root = d.folder(spark, d.file_rows(spark, sf).select("path", "content"))
     sink = work_path(spark, "stream")
@@ -456,6 +494,7 @@ QUERIES = {
     "pptx_segments": pptx_segments,
     "xlsx_cells": xlsx_cells,
     "xlsx_shared_strings": xlsx_shared_strings,
+    "unreadable_packages": unreadable_packages,
     "read_any": read_any,
     "documents_source": documents_source,
     "masked_path": masked_path,
@@ -508,5 +547,8 @@ QUERIES = {
     "mask_corpus": mask_corpus_query,
     "isolate_failures": isolate_failures,
     "mask_stream": mask_stream,
+    "mask_stream_by_model": mask_stream_by_model,
+    "mask_stream_by_dictionary": mask_stream_by_dictionary,
     "mask_file_stream": mask_file_stream_query,
+    "mask_file_stream_to_files": mask_file_stream_to_files,
 }

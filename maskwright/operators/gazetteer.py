@@ -1,12 +1,14 @@
 """Detection by dictionary: which entries of `(kind, value)` occur in which text.
 
-A value counts when the text contains it literally. Two ways give the same rows:
+A value counts when the text contains it literally. Two ways give the same rows, also
+where ids are null or repeated:
 
 * a small dictionary is put into the plan as constants and looked for in each row,
   without any shuffle;
 * any larger one goes through anchors: each value is filed under one of its own
   character n-grams, the one fewest values share, and texts meet it in an equi join
-  on their n-grams. Candidates are then verified against the whole text.
+  on their n-grams. Candidates belong to a text, not to an id, so equal texts share
+  theirs, and are then verified against the whole text.
 """
 
 from pyspark.sql import functions as F
@@ -18,7 +20,9 @@ from maskwright.session import durable
 
 INLINE_VALUES = 512
 INLINE_BYTES = 256 * 1024
+# Bound on what is broadcast: the values' bytes, and ANCHOR_BYTES for the rest of each row.
 BROADCAST_BYTES = 64 * 1024 * 1024
+ANCHOR_BYTES = 64
 
 # n-gram lengths; a value uses the longest one that fits into it.
 GRAM_SIZES = [8, 4, 2, 1]
@@ -41,7 +45,7 @@ def detect_gazetteer(docs, dictionary, id_col="doc_id", text_col="text", method=
     """Add `pii` with the dictionary values each text contains.
 
     `method` is chosen from the measured size of the dictionary; pass `inline` or
-    `grams` to force one. `id_col` has to be unique for `grams`.
+    `grams` to force one. `id_col` only spreads rows; it may be null or repeated.
     """
     entries = _entries(dictionary)
     size = entries.agg(
@@ -54,7 +58,8 @@ def detect_gazetteer(docs, dictionary, id_col="doc_id", text_col="text", method=
         if not fits:
             raise ValueError("dictionary too large for constants in the plan")
         return _inline(docs, entries, text_col)
-    return _by_grams(docs, entries, id_col, text_col, size["b"] <= BROADCAST_BYTES)
+    small = size["b"] + size["n"] * ANCHOR_BYTES <= BROADCAST_BYTES
+    return _by_grams(docs, entries, id_col, text_col, small)
 
 
 def _inline(docs, entries, text_col):
@@ -112,20 +117,23 @@ def _by_grams(docs, entries, id_col, text_col, small):
         )
 
     per_size = [grams_of(size) for size in sizes]
+    # Rows without a text have no candidates; their keys differ, so they stay apart.
+    keyed = docs.withColumn("_key", F.coalesce(
+        F.sha2(text, 256), F.concat(F.lit("-"), F.xxhash64(id_col).cast("string"))))
     # Outer, or the optimizer would spell every text twice to filter by list size.
-    spelled = docs.select(id_col, F.explode_outer(F.concat(*per_size)).alias("g")).select(
-        id_col, F.col("g.size").alias("size"), F.col("g.gram").alias("gram")
+    spelled = keyed.select("_key", F.explode_outer(F.concat(*per_size)).alias("g")).select(
+        "_key", F.col("g.size").alias("size"), F.col("g.gram").alias("gram")
     )
     if small:
         pairs = spelled.join(F.broadcast(filed), ["size", "gram"])
     else:
-        pairs = salted_join(spelled, filed, ["size", "gram"], [id_col], "inner")
-    candidates = pairs.groupBy(id_col).agg(
-        F.collect_list(F.struct("kind", "value")).alias("_candidates")
+        pairs = salted_join(spelled, filed, ["size", "gram"], ["_key"], "inner")
+    candidates = pairs.groupBy("_key").agg(
+        F.collect_set(F.struct("kind", "value")).alias("_candidates")
     )
     # Written first: with its true size known, few candidates are broadcast and the
     # documents stay where they are.
-    joined = docs.join(durable(docs.sparkSession, candidates, "candidates"), id_col, "left")
+    joined = keyed.join(durable(docs.sparkSession, candidates, "candidates"), "_key", "left")
     found = F.filter(F.col("_candidates"), lambda c: F.contains(text, c["value"]))
 
     def of_kind(kind):
@@ -136,5 +144,5 @@ def _by_grams(docs, entries, id_col, text_col, small):
     return (
         joined.withColumn("_found", found)
         .withColumn("pii", pii_struct(**{kind: of_kind(kind) for kind in KINDS}))
-        .drop("_candidates", "_found")
+        .drop("_key", "_candidates", "_found")
     )

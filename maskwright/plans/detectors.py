@@ -7,7 +7,7 @@ from maskwright.functions.detect import rule_pii
 from maskwright.functions.entities import pii_struct
 from maskwright.operators.gazetteer import detect_gazetteer
 from maskwright.operators.inference import infer_pii
-from maskwright.schema import KINDS
+from maskwright.schema import FAILED, KINDS, PARSE_FAILED
 
 
 def by_rules(rules=rule_pii):
@@ -24,12 +24,21 @@ def by_model(make_model, id_col="doc_id", **options):
 
 
 def combined(*detectors):
-    """The lists of several detectors, one after the other per kind."""
+    """The lists of several detectors, one after the other per kind; of their outcomes the
+    worst counts."""
 
     def detect(docs):
-        out = docs
+        out, outcomes = docs, []
         for i, detector in enumerate(detectors):
             out = detector(out).withColumnRenamed("pii", f"_pii{i}")
+            if "detect_status" in out.columns:
+                outcomes.append(f"_status{i}")
+                out = out.withColumnRenamed("detect_status", outcomes[-1])
+        if outcomes:
+            seen = F.array(*outcomes)
+            worst = F.when(F.array_contains(seen, FAILED), F.lit(FAILED)).when(
+                F.array_contains(seen, PARSE_FAILED), F.lit(PARSE_FAILED))
+            out = out.withColumn("detect_status", worst).drop(*outcomes)
         lists = {
             kind: F.concat(*[F.col(f"_pii{i}")[kind] for i in range(len(detectors))])
             for kind in KINDS
