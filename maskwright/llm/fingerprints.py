@@ -8,9 +8,10 @@ symbols, and names are the symbols of the next level. A run of one symbol has no
 inside and is one phrase. Where a phrase begins depends on a few symbols around it only:
 equal substrings share all interior phrases, wherever they stand.
 
-The fingerprint of a text keeps, of the names of all its phrases on the higher levels,
-the smallest ones as a sketch; the share of common names in the smallest of two sketches
-together estimates the share of common phrases. It is written as hexadecimal digits.
+The fingerprint of a text keeps, of the names of all its phrases on all levels, the
+smallest ones as a sketch; the share of common names in the smallest of two sketches
+together estimates the share of common phrases, for texts of any two lengths. It is
+written as hexadecimal digits.
 
 A null text counts as empty; an empty text's fingerprint is the empty string, and two of
 these have likeness 1, one and another 0. Equal texts have equal fingerprints. Documents
@@ -28,8 +29,6 @@ from maskwright.llm.common import map_texts, steps, table
 
 SKETCH = 64
 LEVELS = 24
-#: Phrases of this level and above make up the sketch; below it only where a text has few.
-FIRST_LEVEL = 3
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -110,14 +109,8 @@ def sketches(texts):
         return out
     size = np.array([len(raw[i]) for i in full])
     levels = phrases(np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size) - size)
-    have = np.zeros(len(full), np.int64)
-    for _, owner in levels[FIRST_LEVEL - 1:]:
-        have += np.bincount(owner, minlength=len(full))
-    few = have < SKETCH // 2
     keys = []
     for depth, (names, owner) in enumerate(levels, 1):
-        if depth < FIRST_LEVEL:
-            names, owner = names[few[owner]], owner[few[owner]]
         keys.append((owner.astype(np.uint64) << np.uint64(32)) | (mixed(names + np.uint64(depth)) >> np.uint64(32)))
     key = np.unique(np.concatenate(keys))
     begin = np.searchsorted(key >> np.uint64(32), np.arange(len(full) + 1))

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import random
 
+import numpy as np
 import pyarrow.fs
 from tokenizers import Tokenizer, models
 
@@ -59,6 +60,24 @@ def test_equal_substrings_share_interior_phrases():
     assert near > 0.8 and apart < 0.1
 
 
+def test_likeness_of_any_two_lengths():
+    dice = random.Random(5)
+    words = ["".join(dice.choice("etaoinsrhld") for _ in range(dice.randint(2, 9))) for _ in range(3000)]
+
+    def named(text):
+        levels = fp.phrases(np.frombuffer(text.encode(), np.uint8), np.array([0]))
+        return {(depth, int(n)) for depth, (names, _) in enumerate(levels, 1) for n in names}
+
+    for size in [1, 3, 10, 30, 60, *range(80, 400, 10), 1000, 5000]:
+        whole = " ".join(dice.choice(words) for _ in range(size))
+        for part in (0.5, 0.7, 0.9, 0.97):  # with the number of phrases on either side of any bound
+            other = whole[:int(len(whole) * part)]
+            a, b = named(whole), named(other)
+            exact = len(a & b) / max(1, len(a | b))
+            spread = (exact * (1 - exact) / fp.SKETCH) ** 0.5
+            assert abs(fp.likeness(*fp.sketches([whole, other])) - exact) <= 4.5 * spread + 0.02, (size, part)
+
+
 def slow(docs):
     order = sorted(docs, key=lambda d: -d[0])
     out = {}
