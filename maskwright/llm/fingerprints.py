@@ -152,6 +152,7 @@ def ordered(docs, key, text):
 
     Runs begin at keys that are quantiles of all keys. The rows of such a key also go to the
     run before, as `_next`; those of the greatest key go to the last run, for its last row.
+    With null keys alone there is one run, and its first row follows its last.
     The columns are `_run`, `_next`, key and text; a task's rows are sorted by run.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -164,6 +165,9 @@ def ordered(docs, key, text):
     run = F.when(F.col(key).isNull(), F.lit(last)).otherwise(F.size(F.filter(falling, lambda s: s >= F.col(key))) - 1)
     at = F.coalesce(F.array_position(falling, F.col(key)) - 1, F.lit(-1)).cast("int")
     before = F.when(at == 0, F.lit(last)).when(at > 0, at - 1)
+    if not starts:
+        least = docs.agg(F.min(F.xxhash64(text))).first()[0]
+        before = F.when(F.xxhash64(text) == F.lit(least), F.lit(last))
     places = F.array_compact(F.array(
         F.struct(run.cast("int").alias("_run"), F.lit(False).alias("_next")),
         F.when(before.isNotNull(), F.struct(before.cast("int").alias("_run"), F.lit(True).alias("_next")))))
@@ -196,8 +200,7 @@ def with_next(docs, key="doc_id", text="text"):
                 keys = part.column(key)
                 for i in range(len(texts)):
                     if held is not None and held[0] != runs[i]:
-                        # no row followed: a table whose one run has no start, that is, null keys alone
-                        held, closed = None, False
+                        held, closed = None, False  # the run before has had its following row
                     if nexts[i]:
                         if not closed and held is not None:
                             pairs.append((held, texts[i], made[i]))

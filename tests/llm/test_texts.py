@@ -104,6 +104,15 @@ def test_next_document(spark):
     assert fp.with_next(ties.limit(0)).count() == 0
 
 
+def test_null_ids_alone_lose_no_row(spark):
+    for texts in (["seven"], [None], ["seven", None], ["one two", "one two", "three four five"], ["a b c"] * 5):
+        frame = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(3)
+        got = [tuple(r) for r in fp.with_next(frame).collect()]
+        assert sorted(r[3] for r in got) == sorted(fp.written(s) for s in fp.sketches([t or "" for t in texts]))
+        assert all(r[0] is None for r in got)
+        assert len(texts) > 1 or got[0][6] == 1.0  # the only row is its own next
+
+
 def test_archives(spark, tmp_path):
     big = "<p>" + "x" * 1200
     pages = [(1, "http://a/1", big), (2, "http://a/2\r\nEvil: 1", big), (5, None, big), (3, "http://b", "small"), (4, "http://b", "small"),
