@@ -5,7 +5,10 @@ no letters; runs of one to three of its bytes are counted in hashed places. Weig
 frequency over all learning rows, scaled to length one. Each language has several
 centroids, clustered on a bounded sample of its rows. A text gets the language of the
 centroid with the highest cosine, its score, and is rejected where that cosine falls
-below the least that its language's own rows show.
+below the least that its language's own rows of about as many different n-grams show:
+short and repetitive texts have low cosines, and do not lower the bound of others. Own
+rows are all learning rows of that language that are also found to be of it. A text of a
+word or two is not rejected, as its cosine says too little.
 
 A text that is null or has no letter is `und`, with score 0, and rejected. Equal texts
 get equal results; of centroids with equal cosine the first counts, languages in
@@ -23,9 +26,13 @@ PLACES = 4096
 CENTROIDS = 4
 #: Rows of each language that the centroids are clustered on, at most.
 SAMPLE = 600
-#: Rejection bound: this share of the lowest cosines of a language's sample, times a margin.
+#: Rejection bound: the least cosine of so many own rows at least that it is below this share of them.
 REJECT_QUANTILE = 0.001
-REJECT_MARGIN = 0.3
+#: Classes of texts by number of different n-grams, two for each doubling.
+CLASSES = 2 * 12 + 1
+#: A text of a lower class, with fewer than 32 different n-grams, is a word or two, which a
+#: cosine cannot tell from another language: it is not rejected.
+LEAST_CLASS = 10
 ROWS = 512
 UNKNOWN = "und"
 #: ASCII bytes that are no letters become blanks.
@@ -63,6 +70,10 @@ def weighted(counts, idf):
     return rows / np.maximum(length, 1e-12)[:, None]
 
 
+def gram_class(counts):
+    return np.floor(2 * np.log2(np.maximum((counts > 0).sum(axis=1), 1))).astype(int)
+
+
 def blocks(texts):
     for start in range(0, len(texts), ROWS):
         yield texts[start:start + ROWS]
@@ -121,13 +132,77 @@ class LanguageModel:
             owner = self.owner[best]
             names += [self.languages[o] if ok else UNKNOWN for o, ok in zip(owner, letters)]
             scores += np.where(letters, top, 0.0).astype(float).tolist()
-            out += (~letters | (top < self.bound[owner])).tolist()
+            out += (~letters | (top < self.bound[owner, gram_class(counts)])).tolist()
         return names, scores, out
 
 
+def least_cosines(rows, text, lang, model):
+    """The least cosine and the number of each language's own rows, by class: two arrays."""
+    names, idf, centroids, owner = model.languages, model.idf, model.centroids, model.owner
+    shape = (len(names), CLASSES)
+
+    def run(batches):
+        least, n = np.full(shape, np.inf), np.zeros(shape, np.int64)
+        number = {name: i for i, name in enumerate(names)}
+        for batch in batches:
+            for part in steps(batch, text):
+                for start in range(0, part.num_rows, ROWS):
+                    some = part.slice(start, ROWS)
+                    counts, letters = gram_counts(some.column(text).to_pylist())
+                    cosine = weighted(counts, idf) @ centroids.T
+                    found = owner[np.argmax(cosine, axis=1)]
+                    own = letters & (found == [number[x] for x in some.column(lang).to_pylist()])
+                    place = (found[own], gram_class(counts)[own])
+                    np.minimum.at(least, place, cosine.max(axis=1)[own])
+                    np.add.at(n, place, 1)
+        at = np.nonzero(n)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at[0]), pa.array(at[1]), pa.array(least[at]), pa.array(n[at])], ["language", "class", "least", "n"])
+
+    least, n = np.full(shape, np.inf), np.zeros(shape, np.int64)
+    made = rows.select(text, lang).mapInArrow(run, "language long, class long, least double, n long")
+    for r in made.groupBy("language", "class").agg(F.min("least").alias("least"), F.sum("n").alias("n")).collect():
+        least[r["language"], r["class"]], n[r["language"], r["class"]] = r["least"], r["n"]
+    return least, n
+
+
+def least_left_out(groups, centres, owner):
+    """The least cosine of each language's own clustered rows, by class, each row taken out of
+    its own cluster: a centroid that follows an odd row says nothing of the next odd row."""
+    least, stacked = np.full((len(groups), CLASSES), np.inf), np.concatenate(centres)
+    for i, data in enumerate(groups):
+        cosine, columns = data @ stacked.T, np.flatnonzero(owner == i)
+        mine = np.argmax(cosine[:, columns], axis=1)
+        for c, column in enumerate(columns):
+            some = np.flatnonzero(mine == c)
+            rest = data[some].sum(axis=0) - data[some]
+            cosine[some, column] = (data[some] * rest).sum(axis=1) / np.maximum(np.linalg.norm(rest, axis=1), 1e-6)
+        own = (owner[np.argmax(cosine, axis=1)] == i) & (data > 0).any(axis=1)
+        np.minimum.at(least[i], gram_class(data)[own], cosine.max(axis=1)[own])
+    return least
+
+
+def bounds(least, n):
+    """Per language and class the least cosine of the own rows of that class and its neighbours,
+    as many on either side as hold 1 / REJECT_QUANTILE rows. Languages that have fewer than
+    that in all share the rows of all languages."""
+    enough = 1 / REJECT_QUANTILE
+    out = np.zeros(least.shape, np.float32)
+    for i in range(len(least)):
+        some = slice(i, i + 1) if n[i].sum() >= enough else slice(None)
+        low, many = least[some].min(axis=0), n[some].sum(axis=0)
+        for c in range(LEAST_CLASS, CLASSES):
+            reach = 1
+            while reach < CLASSES and many[max(0, c - reach):c + reach + 1].sum() < enough:
+                reach += 1
+            out[i, c] = low[max(0, c - reach):c + reach + 1].min()
+    # rounded down, since the last bits of a cosine depend on the rows beside it
+    return np.where(np.isfinite(out), np.maximum(np.floor((out - 1e-5) * 1000) / 1000, 0), 0).astype(np.float32)
+
+
 def fit(rows, key="doc_id", text="text", lang="lang", sample=SAMPLE, centroids=CENTROIDS):
     """Learn from all rows with a non-null text and language: document frequencies over
-    every row, clusters on at most `sample` rows of each language."""
+    every row, clusters on at most `sample` rows of each language, bounds over every row."""
     rows = rows.select(key, text, lang).where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     counts = {r[lang]: r["n"] for r in rows.groupBy(lang).agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
@@ -150,15 +225,19 @@ def fit(rows, key="doc_id", text="text", lang="lang", sample=SAMPLE, centroids=C
     for r in taken.collect():  # `sample` rows of a fixed size for each language, in expectation
         groups.setdefault(r["lang"], []).append(bytes(r["v"]))
     names = sorted(groups)
-    centres, owner, bound = [], [], []
+    centres, owner, known = [], [], []
     for i, name in enumerate(names):
         data = np.stack([np.frombuffer(v, np.float16) for v in sorted(groups[name])]).astype(np.float32)
         made = cluster(data, centroids)
         centres.append(made)
+        known.append(data)
         owner += [i] * len(made)
-        bound.append(REJECT_MARGIN * float(np.quantile((data @ made.T).max(axis=1), REJECT_QUANTILE)))
     stacked = np.concatenate(centres) if centres else np.zeros((0, PLACES), np.float32)
-    return LanguageModel(names, idf, stacked, np.array(owner, np.int64), np.array(bound, np.float32))
+    model = LanguageModel(names, idf, stacked, np.array(owner, np.int64), np.zeros((len(names), CLASSES), np.float32))
+    if names:
+        least, n = least_cosines(rows.where(F.col(lang).isin(names)), text, lang, model)
+        model.bound = bounds(np.minimum(least, least_left_out(known, centres, model.owner)), n)
+    return model
 
 
 def identify(df, model, text="text"):

@@ -49,6 +49,36 @@ def test_language_of_odd_rows(spark, docs):
     assert language.identify(odd(spark).limit(0), model).count() == 0
 
 
+UNLEARNT = [
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto",
+    "Minden emberi lény szabadon születik és egyenlő méltósága és joga van. Az emberek, ésszel és lelkiismerettel bírván",
+]
+
+
+def test_unlearnt_languages_are_rejected(spark, docs):
+    learnt = docs.where("doc_id % 4 <> 2")
+    model = language.fit(learnt)
+    dice = random.Random(6)
+    noise = ["".join(dice.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n)) for n in (60, 100, 300, 1000, 5000)]
+    planted = [t[:n] for t in UNLEARNT for n in (60, 110)] + [t * 10 for t in UNLEARNT] + noise
+    assert all(model.predict(planted)[2])
+    clean = [r["text"] for r in docs.where("doc_id % 4 = 2").collect()]
+    short = [t for t in clean if t and language.has_letter(t) and len(t) < 100]
+    assert len(short) >= 5 and not any(model.predict(short)[2]) and sum(model.predict(clean)[2]) <= 1
+
+
+def test_bounds_of_small_and_large_languages():
+    least, n = np.full((2, language.CLASSES), np.inf), np.zeros((2, language.CLASSES), int)
+    least[0, 3], n[0, 3], least[0, 12:15], n[0, 12:15] = 0.2, 4, [0.5, 0.6, 0.7], 2000
+    least[1, 13], n[1, 13] = 0.4, 5
+    got = language.bounds(least, n)
+    assert abs(got[0, 24] - 0.7) < 0.002 and abs(got[0, 13] - 0.5) < 0.002 and (got[:, :language.LEAST_CLASS] == 0).all()
+    assert abs(got[1, 13] - 0.4) < 0.002 and abs(got[1, 24] - 0.7) < 0.002
+    assert (language.bounds(np.full((1, language.CLASSES), np.inf), n[:1] * 0) == 0).all()
+
+
 @pytest.mark.parametrize("module,label,query,least", [
     (quality, "quality", quality.op6_quality, 0.95), (toxicity, "toxic", toxicity.op9_toxicity, 0.9)])
 def test_scores(spark, docs, labels, module, label, query, least):
