@@ -1,8 +1,9 @@
 """Toxicity by weak supervision: voters, a label model, and a classifier on its posteriors.
 
 Voters look at a text's words. Lexicon voters hold one term each, a word or the first
-letters of words, mined where labelled toxic texts have it and others do not; equal
-texts count once. Pattern voters look for shouting, repeated marks and repeated words.
+letters of words, mined where labelled toxic texts have it far more often than others;
+a word and first letters of it that the same texts have are one voter. Equal texts count
+once. Pattern voters look for shouting, repeated marks and repeated words.
 The label model is generative: every voter fires with a rate of its own for either
 class. Expectation maximisation estimates the rates and the prior; voters that still
 agree more than the classes explain (their residual correlation) share their weight.
@@ -18,15 +19,16 @@ import numpy as np
 import pyspark.sql.types as T
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import crc_part, labelled_sample, logistic, map_texts, table
+from maskwright.llm.common import crc_part, labelled_sample, logistic, map_texts, table, written
 
 #: Labelled rows of each kind that voters are mined from, at most.
 SAMPLE = 4000
-#: Terms kept as voters and features, at most, by weight of evidence.
-TERMS = 400
 PREFIXES = (4, 5)
-#: Texts that a term has to occur in, and the share of them that has to be toxic.
+#: Toxic texts that a term has to occur in, and the share that its rate in toxic texts has to
+#: have of its rates in both kinds.
 LEAST_TEXTS, LEAST_SHARE = 3, 0.8
+#: Least G of a term's four counts (likelihood ratio test): one in a thousand by chance.
+LEAST_G = 10.83
 THRESHOLD = 0.3
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
@@ -53,7 +55,7 @@ def patterns(text):
 
 
 class ToxicityModel:
-    """Terms and their weights; bounded by TERMS."""
+    """Terms and their weights; as many as pass the bounds in the labelled sample."""
 
     def __init__(self, weights, intercept):
         self.weights, self.intercept = weights, intercept
@@ -75,16 +77,41 @@ class ToxicityModel:
         return (1 / (1 + np.exp(-np.clip(np.array(out, float), -40, 40)))).tolist()
 
 
-def mine(rows, counts, text="text"):
-    """Terms that toxic texts have and others do not, the strongest first."""
-    found = rows.select("label", F.explode(_terms(F.col(text))).alias("term"))
-    tally = found.groupBy("term").agg(
-        F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("bad"), F.count("*").alias("n"))
-    weight = (F.lit(1.0) * counts[0] / counts[1])  # the sample holds as many of either kind
-    share = F.col("bad") / F.col("n")
-    good = tally.where((F.col("bad") >= LEAST_TEXTS) & (share >= LEAST_SHARE))
-    return [(r["term"], r["bad"], r["n"]) for r in good.orderBy(
-        F.desc(F.col("bad") * share * share), "term").limit(TERMS).collect()]
+def mine(rows, text="text"):
+    """(term, toxic texts, texts) of all terms that toxic texts have far more often than others,
+    the strongest first. Rates are taken within each label, so that it does not matter how
+    many rows either has."""
+    every = F.concat(_terms(F.col(text)), F.array(F.lit("")))  # the empty term counts all rows
+    found = rows.select("label", F.explode(every).alias("term"))
+    tally = written(found.groupBy("term").agg(
+        F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("bad"), F.count("*").alias("n")))
+    whole = tally.where(F.col("term") == "").first()
+    if whole is None or not 0 < whole["bad"] < whole["n"]:
+        return []
+    toxic, other = float(whole["bad"]), float(whole["n"] - whole["bad"])
+    bad, fine = F.col("bad").cast("double"), (F.col("n") - F.col("bad")).cast("double")
+    share = (bad / toxic) / (bad / toxic + fine / other)
+
+    def part(seen, margin, kind):
+        return F.when(seen > 0, seen * F.log(seen * (toxic + other) / (margin * kind))).otherwise(0.0)
+
+    n, rest = F.col("n").cast("double"), F.lit(toxic + other) - F.col("n")
+    g = 2 * (part(bad, n, toxic) + part(fine, n, other) + part(toxic - bad, rest, toxic) + part(other - fine, rest, other))
+    good = tally.where((F.col("term") != "") & (bad >= LEAST_TEXTS)).select("term", "bad", "n", share.alias("share"), g.alias("g")).where(
+        (F.col("share") >= LEAST_SHARE) & (F.col("g") >= LEAST_G))
+    strong = [(r["term"], r["bad"], r["n"]) for r in good.orderBy(F.desc("g"), "term").collect()]
+    return one_of_each(strong)
+
+
+def one_of_each(terms):
+    """`terms` less those with first letters that have the same counts, and so the same texts."""
+    counts = {t: (bad, n) for t, bad, n in terms}
+
+    def covered(term):
+        letters = term.rstrip("*")
+        return any(counts.get(letters[:k] + "*") == counts[term] for k in PREFIXES if k < len(letters))
+
+    return [t for t in terms if not covered(t[0])]
 
 
 def _terms(text):
@@ -132,7 +159,7 @@ def fit(docs, labels, key="doc_id", text="text", label="toxic", sample=SAMPLE):
     rows = rows.withColumnRenamed(text, "text")
     if not (counts.get(0) and counts.get(1)):
         return ToxicityModel({}, -40.0)
-    terms = [t for t, _, _ in mine(rows, counts)]
+    terms = [t for t, _, _ in mine(rows)]
     if not terms:
         return ToxicityModel({}, -40.0)
     place = {t: i for i, t in enumerate(terms)}

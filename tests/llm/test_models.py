@@ -96,6 +96,21 @@ def test_scores(spark, docs, labels, module, label, query, least):
     assert module.score(odd(spark).limit(0), model).count() == 0
 
 
+def test_terms_are_mined_by_rate(spark):
+    rows = [(1, f"awful thing{i}") for i in range(20)] + [(1, f"plain words{i}") for i in range(20)]
+    rows += [(0, f"awful case{i}") for i in range(20)] + [(0, f"plain words{i}") for i in range(3000)]
+    got = {t: (bad, n) for t, bad, n in toxicity.mine(spark.createDataFrame(rows, "label int, text string"))}
+    assert got["awfu*"] == (20, 40) and "awful" not in got  # half of its texts, 75 times the rate; one voter
+    assert "plai*" not in got and "plain" not in got
+
+    def word(i):
+        return "".join(chr(97 + i // 26 ** k % 26) for k in range(3))
+
+    many = [(1, " ".join(word(i) for i in range(g, g + 10))) for g in range(0, 600, 10) for _ in range(8)] + [(0, "zzz")] * 3000
+    got = [t for t, _, _ in toxicity.mine(spark.createDataFrame(many, "label int, text string"))]
+    assert set(got) >= {word(0), word(599)} and len(got) == 600  # significant each, none cut
+
+
 def test_label_model_finds_the_classes():
     rng = np.random.default_rng(1)
     truth = (rng.random(3000) < 0.2).astype(float)
