@@ -5,6 +5,7 @@ from maskwright.llm.decontamination import op7_decontamination
 from maskwright.llm.fingerprints import op10_fingerprints
 from maskwright.llm.html_extraction import op3_html
 from maskwright.llm.language import op5_language
+from maskwright.llm.periodic_runs import op13_periodic_runs
 from maskwright.llm.quality import op6_quality
 from maskwright.llm.simhash import op2_simhash
 from maskwright.llm.token_counts import op1_token_counts
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_toxicity": op9_toxicity,
     "op10_fingerprints": op10_fingerprints,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES = {
