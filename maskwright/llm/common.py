@@ -102,15 +102,19 @@ def sampled(df, key, limits, by, counts):
     return df.where(place < share)
 
 
-def written(df):
-    """`df` written once to the folder of `spark.checkpoint.dir`, and read from there.
+def work_folder(spark):
+    """Checkpoints go to the folder of `spark.checkpoint.dir`.
 
     Where the session has no such folder, as in tests, it gets the one of
     `maskwright.session.work_root`, which a cluster refuses to guess.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(work_root(df.sparkSession))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(work_root(spark))
+
+
+def written(df):
+    """`df` written once to the folder of `spark.checkpoint.dir`, and read from there."""
+    work_folder(df.sparkSession)
     return df.checkpoint()
 
 

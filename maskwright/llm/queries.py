@@ -6,10 +6,12 @@ from maskwright.llm.fingerprints import op10_fingerprints
 from maskwright.llm.html_extraction import op3_html
 from maskwright.llm.language import op5_language
 from maskwright.llm.periodic_runs import op13_periodic_runs
+from maskwright.llm.prefix_forest import op12_neighbours
 from maskwright.llm.quality import op6_quality
 from maskwright.llm.simhash import op2_simhash
 from maskwright.llm.token_counts import op1_token_counts
 from maskwright.llm.toxicity import op9_toxicity
+from maskwright.llm.vector_codes import op11_vector_codes
 from maskwright.llm.warc import op4_warc
 
 QUERIES = {
@@ -23,6 +25,8 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_toxicity": op9_toxicity,
     "op10_fingerprints": op10_fingerprints,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_neighbours": op12_neighbours,
     "op13_periodic_runs": op13_periodic_runs,
 }
 

@@ -1,0 +1,197 @@
+"""Vector codes and nearest neighbours against plain versions."""
+
+import hashlib
+import math
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from maskwright.llm import prefix_forest as pf
+from maskwright.llm import vector_codes as vc
+
+SF = "/root/testdata/sf0.001"
+NAN, INF = float("nan"), float("inf")
+
+
+def vectors(spark, sf_dir=SF):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
+    return [(r["vec_id"], r["embedding"], r["label"]) for r in rows]
+
+
+def plain_codes(rows, parts=8, entries=16, rounds=6):
+    """(code, error) of each row, and the codebooks, by whole assignments in every round."""
+    whole = [(i, [math.floor(4096 * x) for x in v], label) for i, v, label in rows]
+    width = len(whole[0][1]) // parts
+    least = {}
+    for i, v, _ in whole:
+        if i is not None:
+            least[i] = min(v, least.get(i, v))
+    first = [least[i] for i in sorted(least)[:entries]]
+    books = [[v[p * width:(p + 1) * width] for v in first] for p in range(parts)]
+
+    def assigned(p, part):
+        off = [sum((a - b) ** 2 for a, b in zip(part, entry)) for entry in books[p]]
+        return off.index(min(off)), min(off)
+
+    for _ in range(rounds):
+        for p in range(parts):
+            held = {}
+            for _, v, _ in whole:
+                part = v[p * width:(p + 1) * width]
+                held.setdefault(assigned(p, part)[0], []).append(part)
+            for e, own in held.items():
+                books[p][e] = [sum(xs) // len(own) for xs in zip(*own)]
+    out = [[assigned(p, v[p * width:(p + 1) * width]) for p in range(parts)] for _, v, _ in whole]
+    digest = hashlib.sha256(",".join(str(x) for book in books for entry in book for x in entry).encode()).hexdigest()
+    return [("".join(f"{e:02x}" for e, _ in r), sum(d for _, d in r)) for r in out], digest
+
+
+def test_codes_are_those_of_plain_rounds(spark):
+    rows = vectors(spark)[:300]
+    rows += [(i, list(rows[7][1]), 3) for i in range(1000, 1200)]  # a hot vector
+    rows += [(5, list(rows[9][1]), None), (None, list(rows[3][1]), None)]
+    bad = [(2000, None, 1), (2001, [NAN] * 64, 1), (2002, [INF] + [0.0] * 63, 1), (2003, [None] + [0.0] * 63, 1), (2004, [], 1),
+           (2005, [1.0] * 32, 1)]
+    frame = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, label int").repartition(5)
+    frame = frame.withColumn("CODE", frame.label)
+    books = vc.codebooks(frame)
+    got = vc.with_sums(vc.encode(frame, books)).collect()
+    want, digest = plain_codes(rows)
+    assert books.digest() == digest
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted([(r["vec_id"], r["label"], r["code"], r["error"]) for r in got], key=key) == sorted(
+        [(i, label, *w) for (i, _, label), w in zip(rows, want)], key=key)
+    for r in got:
+        assert r["label_error"] == sum(w[1] for (_, _, label), w in zip(rows, want) if label == r["label"])
+
+
+def test_few_and_no_vectors(spark):
+    schema = "vec_id long, embedding array<double>, label int"
+    few = spark.createDataFrame([(3, [0.5] * 8, 1), (1, [-1e9] + [0.25] * 7, 1), (3, [0.5] * 8, None)], schema)
+    books = vc.codebooks(few)
+    assert books.entries.shape == (8, 2, 1) and books.entries[0, 0, 0] == -vc.BOUND
+    got = vc.with_sums(vc.encode(few, books)).orderBy("vec_id", "label").collect()
+    assert [(r["vec_id"], r["code"], r["error"], r["label_error"]) for r in got] == [
+        (1, "00" * 8, 0, 0), (3, "01" * 8, 0, 0), (3, "01" * 8, 0, 0)]
+    for none in (few.limit(0), few.where("false"), spark.createDataFrame([(1, None, 1), (2, [], 1)], schema)):
+        assert vc.codebooks(none) is None and vc.with_sums(vc.encode(none, None)).count() == 0
+
+
+def test_only_members_of_another_entry_move(spark):
+    """The members of an owner's chunks after a round: those that stay and those that come."""
+    rng = np.random.default_rng(1)
+    members = rng.integers(-50, 50, (200, 2))
+    book = vc.Codebooks(rng.integers(-50, 50, (1, 4, 2)))
+    entry, _ = vc.nearest(members, book.entries[0])
+    wrong = np.where(rng.random(200) < 0.3, (entry + 1) % 4, entry)
+    chunks = list(vc.dealt(0, rng.integers(0, 3, 200), members, np.ones(200, np.int64), wrong))
+    held = spark.sparkContext.parallelize(chunks, 3).partitionBy(6, vc.place)
+    stay, move = vc.settled(held, book)
+    count = lambda rdd: rdd.map(lambda c: int(vc.read_chunk(c[1], 2)[1].sum())).sum()
+    assert count(move) == int((wrong != entry).sum()) and count(stay) == int((wrong == entry).sum())
+    joined = stay.union(move.partitionBy(6, vc.place))
+    assert joined.getNumPartitions() == 6  # the same tasks own the same entries
+    now = {k: v for k, v in vc.sums_of(joined, 2).items()}
+    for e in range(4):
+        own = members[entry == e]
+        assert now.get((0, e), (0, [0, 0])) == (len(own), own.sum(axis=0).tolist())
+    owners = joined.mapPartitionsWithIndex(lambda i, cs: {(k, i) for k, _ in cs}).collect()
+    assert len({k for k, _ in owners}) == len(set(owners))  # each group of members in one task
+
+
+def test_codes_query(spark):
+    got = vc.op11_vector_codes(spark, SF)
+    assert got.columns == ["vec_id", "code", "error", "label_error", "codebooks_sha256"]
+    assert [t for _, t in got.dtypes] == ["bigint", "string", "bigint", "bigint", "string"]
+    rows = vectors(spark)
+    want, digest = plain_codes(rows)
+    held = {r["vec_id"]: r for r in got.collect()}
+    assert [(held[i]["code"], held[i]["error"]) for i, _, _ in rows] == want
+    assert {r["codebooks_sha256"] for r in held.values()} == {digest}
+
+
+def brute(rows, k=5, step=50):
+    """The k nearest of each query among all other rows, by cosine, ties to the smaller key."""
+    keys, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    out = {}
+    for q in np.flatnonzero(keys % step == 0):
+        score = (x * x[q]).sum(axis=1) / np.sqrt((x * x).sum(axis=1)) / np.sqrt((x[q] ** 2).sum())
+        out[keys[q]] = [(keys[j], score[j]) for j in np.lexsort((keys, -score)) if keys[j] != keys[q]][:k]
+    return out
+
+
+def recall(got, want):
+    """Share of the nearest rows that were found; of several equally near ones any will do."""
+    hits = [sum(any(abs(s - t) < 1e-12 for _, t in want[q]) or s > want[q][-1][1] for _, s in got.get(q, [])) for q in want]
+    return sum(hits) / sum(len(w) for w in want.values())
+
+
+def listed(frame):
+    got = {}
+    for r in frame.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+        assert r["rank"] == len(got[r["query_id"]])
+    return got
+
+
+def test_longest_prefix_and_ranges():
+    rng = np.random.default_rng(4)
+    rows = rng.standard_normal((300, 12))
+    forest = pf.Forest(np.arange(300), rows, pf.planes(12, 5))
+    asked = np.vstack([rows[:10], rng.standard_normal((10, 12))])
+    strings, own = forest.strings(asked), forest.strings(rows)
+    share = lambda a, b: 64 - int(a ^ b).bit_length()
+    longest = forest.longest(strings)
+    for i in range(20):
+        for t in range(5):
+            every = [share(int(strings[i, t]), int(s)) for s in own[:, t]]
+            assert longest[i, t] == max(every)
+            for bits in (0, 1, 3, 64):
+                first, last = forest.range(strings, bits)
+                met = set(forest.order[t, first[i, t]:last[i, t]].tolist())
+                assert met == {j for j, e in enumerate(every) if e >= bits}
+    found = forest.candidates(asked, 200)
+    for i, met in enumerate(found):
+        every = np.array([[share(int(strings[i, t]), int(s)) for t, s in enumerate(o)] for o in own])
+        bits = max(b for b in range(65) if (every >= b).sum() >= 200)  # the deepest level that has enough
+        assert met.tolist() == np.flatnonzero((every >= bits).any(axis=1)).tolist()
+
+
+def test_neighbours_query(spark):
+    for sf_dir in (SF, "/root/testdata/sf0.1"):
+        got = pf.op12_neighbours(spark, sf_dir)
+        assert got.columns == ["query_id", "rank", "vec_id", "score"]
+        assert [t for _, t in got.dtypes] == ["bigint", "int", "bigint", "double"]
+        found, want = listed(got), brute(vectors(spark, sf_dir))
+        assert found.keys() == want.keys() and all(len(f) == 5 for f in found.values())
+        assert recall(found, want) >= 0.95
+        exact = {(q, v): s for q, near in brute(vectors(spark, sf_dir), k=10**9).items() for v, s in near}
+        assert all(abs(exact[q, v] - s) < 1e-12 for q, near in found.items() for v, s in near)
+
+
+def test_neighbours_of_copies_and_odd_rows(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.standard_normal(16).tolist()) for i in range(1, 900)]
+    rows += [(i, rows[99][1]) for i in range(1000, 1400)]  # a hot vector
+    rows += [(i, [2 * x for x in rows[99][1]]) for i in range(1400, 1410)]
+    rows += [(i, (np.array(rows[199][1]) + 0.001 * rng.standard_normal(16)).tolist()) for i in range(1500, 1700)]  # near copies
+    bad = [(0, None), (50, [0.0] * 16), (2000, [NAN] * 16), (2050, [1.0] * 3), (2100, []), (2150, [None] * 16), (None, rows[0][1])]
+    frame = spark.createDataFrame(rows[50:] + rows[:50] + bad + rows[:20], "vec_id long, embedding array<double>").withColumn("RANK", F.lit("x"))
+    rows = [r for r in rows if r[0] != 50]
+    frame = frame.where("vec_id is null or vec_id <> 50 or embedding[0] = 0")
+    for block in (4096, 300):
+        got, want = listed(pf.search(frame, lambda i: i % 50 == 0, block=block)), brute(rows)
+        assert got.keys() == want.keys() and recall(got, want) >= 0.9
+        assert [v for v, _ in got[1000]] == [100, 1001, 1002, 1003, 1004]  # ties to the smaller key
+
+
+def test_neighbours_in_small_tables(spark):
+    schema = "vec_id long, embedding array<float>"
+    some = [(0, [1.0, 0.0]), (50, [1e-30, 1e-30]), (3, [3e38, 0.0]), (4, [-1.0, 0.5])]
+    got = listed(pf.search(spark.createDataFrame(some, schema), lambda i: i % 50 == 0, block=2))
+    assert [v for v, _ in got[0]] == [3, 50, 4] and [v for v, _ in got[50]] == [0, 3, 4]
+    assert got[0][0][1] == 1.0 and abs(got[0][1][1] - math.sqrt(0.5)) < 1e-7
+    assert listed(pf.search(spark.createDataFrame(some[:1], schema), lambda i: i % 50 == 0)) == {}
+    for none in (spark.createDataFrame([], schema), spark.createDataFrame([(0, None), (1, [0.0])], schema)):
+        assert pf.search(none, lambda i: i % 50 == 0).columns == ["query_id", "rank", "vec_id", "score"]
+        assert pf.search(none, lambda i: i % 50 == 0).count() == 0
