@@ -30,7 +30,46 @@ QUERIES = {
     "op13_periodic_runs": op13_periodic_runs,
 }
 
+def vector_codes_sql(parts=8, entries=16, rounds=6):
+    """Lloyd's rounds as one table after the other: the nearest entries, then their means."""
+    books = [f"""
+        book0 AS MATERIALIZED (
+            SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, min(x) AS y FROM parts
+            WHERE vec_id IN (SELECT DISTINCT vec_id FROM kept ORDER BY vec_id LIMIT {entries}) GROUP BY p, vec_id)"""]
+    near = """
+        near{0} AS MATERIALIZED (
+            SELECT r, p, any_value(x) AS x, min(off) AS off, arg_min(e, off * 256 + e) AS e
+            FROM (SELECT r, parts.p, x, e, list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS off
+                  FROM parts JOIN book{0} ON parts.p = book{0}.p)
+            GROUP BY r, p)"""
+    for k in range(rounds):
+        books.append(near.format(k))
+        books.append(f"""
+        book{k + 1} AS MATERIALIZED (
+            SELECT book{k}.p, book{k}.e, coalesce(mean, y) AS y FROM book{k} LEFT JOIN (
+                SELECT p, e, list(mean ORDER BY i) AS mean FROM (
+                    SELECT p, e, i, ((sum(x[i]) - (sum(x[i]) % count(*) + count(*)) % count(*)) // count(*))::BIGINT AS mean
+                    FROM near{k}, range(1, (SELECT any_value(len(x)) FROM parts) + 1) t(i) GROUP BY p, e, i)
+                GROUP BY p, e) m ON m.p = book{k}.p AND m.e = book{k}.e)""")
+    books.append(near.format(rounds))
+    return f"""
+        WITH kept AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v
+            FROM embeddings
+            WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+        parts AS MATERIALIZED (
+            SELECT r, vec_id, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS x FROM kept, range({parts}) t(p)),
+        {','.join(books)},
+        coded AS MATERIALIZED (
+            SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(off)::BIGINT AS error FROM near{rounds} GROUP BY r)
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+            (SELECT sha256(string_agg(c, ',' ORDER BY p, e)) FROM (SELECT p, e, array_to_string(y, ',') AS c FROM book{rounds})) AS codebooks_sha256
+        FROM kept JOIN coded USING (r)
+    """
+
+
 ORACLES = {
+    "op11_vector_codes": vector_codes_sql(),
     # DuckDB's sha1 works on the text's bytes
     "op4_warc": """
         WITH records AS (
