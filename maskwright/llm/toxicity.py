@@ -1,80 +1,146 @@
 """Toxicity by weak supervision: voters, a label model, and a classifier on its posteriors.
 
 Voters look at a text's words. Lexicon voters hold one term each, a word or the first
-letters of words, mined where labelled toxic texts have it far more often than others;
-a word and first letters of it that the same texts have are one voter. Equal texts count
-once. Pattern voters look for shouting, repeated marks and repeated words.
-The label model is generative: every voter fires with a rate of its own for either
-class. Expectation maximisation estimates the rates and the prior; voters that still
-agree more than the classes explain (their residual correlation) share their weight.
-A linear classifier learns the posteriors from presence of terms, and scores all texts.
-
-A null or empty text, or one without a known term, gets the score of the intercept.
-Equal texts get equal scores. Without labels of both kinds all scores are 0.
+letters of one word or of two different ones, mined where labelled toxic texts have it far
+more often than others; of terms that begin alike the shortest of the most telling ones
+stands for all. Equal texts
+count once. Pattern voters look for shouting, repeated marks and repeated words, and one
+voter says that no term is there.
+
+The label model is generative: every voter fires with a rate of its own in either class and
+otherwise abstains. Voters that agree more than the classes explain (their residual
+correlation) share their weight. Known labels are held: expectation maximisation estimates
+the rates from these and from the posteriors of unlabelled rows, which it estimates in turn.
+A linear classifier learns all posteriors from presence of terms and patterns, and scores
+all texts.
+
+Votes are kept as lists of what fires and correlations are summed a block of voters at a
+time, so memory grows with the votes and not with the square of the terms.
+
+A null or empty text, or one that no voter fires on, gets the score of the intercept. Equal
+texts get equal scores. Without labels of both kinds, or without any term, all scores are 0.
+Rows with a null key and labels without a key teach nothing, and neither does a key that is
+labelled both ways. Texts are read whole, however long.
 """
 
+import math
 import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyspark.sql.types as T
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import crc_part, labelled_sample, logistic, map_texts, table, written
+from maskwright.llm.common import crc_part, labelled_sample, logistic, map_texts, sampled, table, written
 
-#: Labelled rows of each kind that voters are mined from, at most.
+#: Labelled rows of each kind, and unlabelled rows, to learn from, at most.
 SAMPLE = 4000
-PREFIXES = (4, 5)
-#: Toxic texts that a term has to occur in, and the share that its rate in toxic texts has to
+PREFIXES = (4, 5, 6, 7)
+#: Texts that a term has to occur in, and the share that its rate in toxic texts has to
 #: have of its rates in both kinds.
 LEAST_TEXTS, LEAST_SHARE = 3, 0.8
-#: Least G of a term's four counts (likelihood ratio test): one in a thousand by chance.
-LEAST_G = 10.83
+#: Chance that any term at all passes the test of its counts though it says nothing.
+CHANCE = 0.05
+#: Pull of the classifier's weights towards 0.
+RIDGE = 0.2
+#: Voters whose correlations with all others are summed at a time.
+BLOCK = 128
 THRESHOLD = 0.3
 _WORDS = re.compile(r"[^\W\d_]+").findall
+_MARKS = re.compile(r"[!?]{2,}").search
+PATTERNS = 3
 
 
 def terms_of(text):
-    """The distinct words of a text and their first letters, marked with `*`."""
+    """The distinct words of a text and their first letters, marked with `*`, or with `**` if
+    several words have them."""
     words = set(_WORDS(text.lower())) if text else set()
     found = set(words)
     for n in PREFIXES:
-        found.update([w[:n] + "*" for w in words if len(w) > n])
+        begin = [w[:n] for w in words if len(w) > n]
+        once = set(begin)
+        found.update([b + "*" for b in once])
+        if len(once) < len(begin):
+            found.update([b + "**" for b, k in Counter(begin).items() if k > 1])
     return found
 
 
 def patterns(text):
     """Votes of the pattern voters: shouting, runs of marks, runs of one word."""
-    text = text or ""
-    letters = sum(map(str.isalpha, text))
-    upper = sum(map(str.isupper, text))
+    words = _WORDS(text) if text else []
+    loud = sum(map(str.isupper, words))
     return [
-        letters >= 20 and upper > 0.7 * letters,
-        re.search(r"[!?]{2,}", text) is not None,
-        re.search(r"\b(\w{2,})(?:\s+\1\b){3,}", text) is not None,
+        len(words) >= 5 and loud > 0.7 * len(words),
+        _MARKS(text or "") is not None,
+        any(a == b == c == d for a, b, c, d in zip(words, words[1:], words[2:], words[3:]) if len(a) > 1),
     ]
 
 
+class Lexicon:
+    """Places of terms, looked up by word."""
+
+    def __init__(self, terms):
+        self.terms = list(terms)
+        self.words, self.stems = {}, {n: {} for n in PREFIXES}
+        for i, term in enumerate(self.terms):
+            letters = term.rstrip("*")
+            if letters == term:
+                self.words[term] = i
+            else:
+                self.stems[len(letters)].setdefault(letters, [-1, -1])[len(term) - len(letters) - 1] = i
+        self.stems = {n: own for n, own in self.stems.items() if own}
+
+    def of(self, word):
+        """(places that the word fires, places that it fires together with another word)."""
+        alone, paired = ([self.words[word]] if word in self.words else []), []
+        for n, own in self.stems.items():
+            one, two = own.get(word[:n], (-1, -1)) if len(word) > n else (-1, -1)
+            alone += [one] * (one >= 0)
+            paired += [two] * (two >= 0)
+        return alone, paired
+
+    def votes(self, texts):
+        """Places of the terms in each text, sorted. Words are looked up once."""
+        known, out = {}, []
+        for text in texts:
+            found, half = set(), set()
+            for word in set(_WORDS(text.lower())) if text and self.terms else ():
+                places = known.get(word)
+                if places is None:
+                    places = known[word] = self.of(word)
+                found.update(places[0])
+                for p in places[1]:
+                    (found if p in half else half).add(p)
+            out.append(sorted(found))
+        return out
+
+
 class ToxicityModel:
-    """Terms and their weights; as many as pass the bounds in the labelled sample."""
+    """Terms and their weights, weights of the patterns, and the intercept."""
 
-    def __init__(self, weights, intercept):
-        self.weights, self.intercept = weights, intercept
-        self.words = {t: w for t, w in weights.items() if not t.endswith("*")}
-        self.stems = {n: {t[:-1]: w for t, w in weights.items() if t.endswith("*") and len(t) == n + 1} for n in PREFIXES}
+    def __init__(self, weights, marks, intercept):
+        self.weights, self.marks, self.intercept = weights, marks, intercept
+        self.lexicon = Lexicon(weights)
 
     def scores(self, texts):
-        out = []
-        for text in texts:
-            total = self.intercept
-            if text and self.weights:
-                words = set(_WORDS(text.lower()))
-                total += sum([self.words[w] for w in words & self.words.keys()])
-                for n, stems in self.stems.items():
-                    if stems:
-                        hit = {w[:n] for w in words if len(w) > n} & stems.keys()
-                        total += sum([stems[s] for s in sorted(hit)])
-            out.append(total)
-        return (1 / (1 + np.exp(-np.clip(np.array(out, float), -40, 40)))).tolist()
+        own = np.array([*self.weights.values(), 0.0])
+        totals = np.full(len(texts), float(self.intercept))
+        for i, (text, places) in enumerate(zip(texts, self.lexicon.votes(texts))):
+            totals[i] += own[places].sum()
+            if text and any(self.marks):
+                totals[i] += sum(w for w, fires in zip(self.marks, patterns(text)) if fires)
+        return (1 / (1 + np.exp(-np.clip(totals, -40, 40)))).tolist()
+
+
+def least_g(tests):
+    """The G of four counts (likelihood ratio test) that one of so many tests passes by chance
+    with the probability `CHANCE`."""
+    low, high = 0.0, 1000.0
+    while high - low > 1e-6:
+        g = (low + high) / 2
+        low, high = (g, high) if math.erfc(math.sqrt(g / 2)) * max(1, tests) > CHANCE else (low, g)
+    return high
 
 
 def mine(rows, text="text"):
@@ -84,7 +150,8 @@ def mine(rows, text="text"):
     every = F.concat(_terms(F.col(text)), F.array(F.lit("")))  # the empty term counts all rows
     found = rows.select("label", F.explode(every).alias("term"))
     tally = written(found.groupBy("term").agg(
-        F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("bad"), F.count("*").alias("n")))
+        F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("bad"), F.count("*").alias("n"))
+        .where(F.col("n") >= LEAST_TEXTS))
     whole = tally.where(F.col("term") == "").first()
     if whole is None or not 0 < whole["bad"] < whole["n"]:
         return []
@@ -98,87 +165,178 @@ def mine(rows, text="text"):
     n, rest = F.col("n").cast("double"), F.lit(toxic + other) - F.col("n")
     g = 2 * (part(bad, n, toxic) + part(fine, n, other) + part(toxic - bad, rest, toxic) + part(other - fine, rest, other))
     good = tally.where((F.col("term") != "") & (bad >= LEAST_TEXTS)).select("term", "bad", "n", share.alias("share"), g.alias("g")).where(
-        (F.col("share") >= LEAST_SHARE) & (F.col("g") >= LEAST_G))
-    strong = [(r["term"], r["bad"], r["n"]) for r in good.orderBy(F.desc("g"), "term").collect()]
+        (F.col("share") >= LEAST_SHARE) & (F.col("g") >= least_g(tally.count() - 1)))
+    strong = [(r["term"], r["bad"], r["n"], r["share"]) for r in good.orderBy(F.desc("g"), "term").collect()]
     return one_of_each(strong)
 
 
 def one_of_each(terms):
-    """`terms` less those with first letters that have the same counts, and so the same texts."""
-    counts = {t: (bad, n) for t, bad, n in terms}
+    """`terms` less those with first letters that are as telling: these are in the same texts
+    and more."""
+    shares = {t: share for t, _, _, share in terms}
 
     def covered(term):
         letters = term.rstrip("*")
-        return any(counts.get(letters[:k] + "*") == counts[term] for k in PREFIXES if k < len(letters))
+        wider = [letters[:k] + "*" for k in PREFIXES if k < len(letters)] + [letters + "*"] * term.endswith("**")
+        if term.endswith("**"):
+            wider += [letters[:k] + "**" for k in PREFIXES if k < len(letters)]
+        return any(shares.get(w, -1) >= shares[term] for w in wider)
 
-    return [t for t in terms if not covered(t[0])]
+    return [(t, bad, n) for t, bad, n, _ in terms if not covered(t)]
 
 
 def _terms(text):
-    from pyspark.sql.functions import udf
+    @F.arrow_udf("array<string>")
+    def found(texts: pa.Array) -> pa.Array:
+        return pa.array([sorted(terms_of(t)) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    return found(text)
+
+
+class Votes:
+    """What fires on which row: two arrays, sorted by voter."""
+
+    def __init__(self, lists, voters):
+        row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        voter = np.array([v for x in lists for v in x], np.int64)
+        order = np.lexsort((row, voter))
+        self.row, self.voter, self.rows, self.voters = row[order], voter[order], len(lists), voters
+        self.begin = np.searchsorted(self.voter, np.arange(voters + 1))
+
+    def by_voter(self, x):
+        """Sum of x over the rows that each voter fires on."""
+        return np.bincount(self.voter, x[self.row], self.voters)
+
+    def by_row(self, w):
+        """Sum of w over the voters that fire on each row."""
+        return np.bincount(self.row, w[self.voter], self.rows)
+
+    def together(self):
+        """(voters, counts of rows that each of these shares with all), block after block."""
+        for first in range(0, self.voters, BLOCK):
+            last = min(first + BLOCK, self.voters)
+            a, b = self.begin[first], self.begin[last]
+            own = np.zeros((self.rows, last - first), np.float32)
+            own[self.row[a:b], self.voter[a:b] - first] = 1
+            both = np.zeros((self.voters, last - first))
+            for v in range(self.voters):
+                both[v] = own[self.row[self.begin[v]:self.begin[v + 1]]].sum(axis=0)
+            yield np.arange(first, last), both
+
+
+def shares(votes, post, one, zero):
+    """The weight each voter keeps: one over the sum of its squared residual correlations with
+    all voters, itself included."""
+    side = np.stack([post, 1 - post], axis=1)
+    rates = np.stack([one, zero])
+    fired = np.stack([votes.by_voter(side[:, 0]), votes.by_voter(side[:, 1])], axis=1)
+    grown = rates.T @ (side.T @ side)
+    spread = np.sqrt(np.maximum(
+        np.diff(votes.begin) - 2 * (fired * rates.T).sum(axis=1) + (grown * rates.T).sum(axis=1), 1e-9))
+    kept = np.ones(votes.voters)
+    for own, both in votes.together():
+        rest = both - fired @ rates[:, own] - (fired[own] @ rates).T + grown @ rates[:, own]
+        agree = rest / np.outer(spread, spread[own])
+        agree[own, np.arange(len(own))] = 1.0
+        kept[own] = 1 / np.maximum((agree ** 2).sum(axis=0), 1.0)
+    return kept
+
+
+def label_model(votes, known, prior, rounds=30):
+    """Posteriors of all rows, the rates of all voters (class 0, class 1) and the weights they
+    keep. `known` holds labels, NaN where there is none; labels are held. A voter that does
+    not fire abstains; the odds of what fires are set to a scale by the known rows, each label
+    counting as much as `prior` says."""
+    open_ = np.isnan(known)
+    share = np.where(known == 1, prior / max(1, (known == 1).sum()), (1 - prior) / max(1, (known == 0).sum()))[~open_]
+    post = np.where(open_, prior, known)
+
+    def rates(side):
+        # drawn to the voter's rate in all rows, as if one more row were known
+        return (votes.by_voter(side) + np.diff(votes.begin) / votes.rows) / (side.sum() + 1)
+
+    sure = np.where(open_, 0.0, post), np.where(open_, 0.0, 1 - post)
+    keep = shares(votes, post, rates(sure[0]), rates(sure[1]))
+    for _ in range(rounds):
+        one, zero = np.clip(rates(post), 1e-9, 1), np.clip(rates(1 - post), 1e-9, 1)
+        odds = votes.by_row(keep * np.log(one / zero))
+        slope, start = logistic(odds[~open_, None], known[~open_], share * len(share), ridge=1e-4)
+        new = np.where(open_, 1 / (1 + np.exp(-np.clip(slope * odds + start, -30, 30))), known)
+        moved, post = np.abs(new - post).max(initial=0), new
+        if moved < 1e-6:
+            break
+    return post, (zero, one), keep
 
-    return udf(lambda t: sorted(terms_of(t)), T.ArrayType(T.StringType()))(text)
 
+def classifier(votes, y, weight, ridge=RIDGE, rounds=50):
+    """Weights of a ridge logistic regression on what fires, and the intercept: Newton's steps,
+    each solved by conjugate gradients."""
+    w, b = np.zeros(votes.voters), 0.0
 
-def label_model(votes, start, rounds=30):
-    """Posterior of class 1 for each row of a 0/1 vote matrix, by expectation maximisation.
+    def dot(a, c):
+        return float(a[0] @ c[0] + a[1] * c[1])
 
-    `start` holds first posteriors. Returns posteriors, rates (class 0, class 1), prior
-    and the weight each voter keeps after its correlations."""
-    votes = np.asarray(votes, float)
-    post = np.clip(np.asarray(start, float), 0.01, 0.99)
-    share = np.ones(votes.shape[1])
     for _ in range(rounds):
-        prior = np.clip(post.mean(), 1e-3, 1 - 1e-3)
-        one = (votes.T @ post + 0.5) / (post.sum() + 1)
-        zero = (votes.T @ (1 - post) + 0.5 * prior) / ((1 - post).sum() + 1)
-        share = 1 / _together(votes, post, one, zero)
-        odds = np.log(prior / (1 - prior)) + (
-            votes @ (share * np.log(one / zero)) + (1 - votes) @ (share * np.log((1 - one) / (1 - zero))))
-        new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        if np.abs(new - post).max() < 1e-6:
-            post = new
+        p = 1 / (1 + np.exp(-np.clip(votes.by_row(w) + b, -30, 30)))
+        off, curve = weight * (p - y), weight * p * (1 - p)
+        x = (np.zeros(votes.voters), 0.0)
+        left = (-(votes.by_voter(off) + ridge * w), -float(off.sum()))
+        way, size = left, dot(left, left)
+        start = size
+        for _ in range(200):
+            if size <= 1e-12 * max(start, 1e-12):
+                break
+            seen = curve * (votes.by_row(way[0]) + way[1])
+            turned = (votes.by_voter(seen) + ridge * way[0], float(seen.sum()) + 1e-9 * way[1])
+            step = size / dot(way, turned)
+            x = (x[0] + step * way[0], x[1] + step * way[1])
+            left = (left[0] - step * turned[0], left[1] - step * turned[1])
+            now = dot(left, left)
+            way, size = (left[0] + now / size * way[0], left[1] + now / size * way[1]), now
+        w, b = w + x[0], b + x[1]
+        if max(np.abs(x[0]).max(initial=0), abs(x[1])) < 1e-6:
             break
-        post = new
-    return post, (zero, one), prior, share
-
-
-def _together(votes, post, one, zero):
-    """For each voter, the sum of its squared residual correlations with all voters, itself
-    included: how many voters say what it says."""
-    rest = votes - (post[:, None] * one + (1 - post)[:, None] * zero)
-    spread = np.sqrt(np.maximum((rest ** 2).mean(axis=0), 1e-9))
-    agree = (rest.T @ rest) / len(votes) / np.outer(spread, spread)
-    np.fill_diagonal(agree, 1.0)
-    return np.maximum((agree ** 2).sum(axis=1), 1.0)
+    return w, b
 
 
 def fit(docs, labels, key="doc_id", text="text", label="toxic", sample=SAMPLE):
-    """Learn from at most about `sample` rows of each label (1 toxic, 0 not)."""
-    rows, counts = labelled_sample(docs, labels, key, label, sample, text)
-    rows = rows.withColumnRenamed(text, "text")
+    """Learn from at most about `sample` rows of each label (1 toxic, 0 not), and as many rows
+    of `docs` without a label."""
+    nothing = ToxicityModel({}, [0.0] * PATTERNS, -40.0)
+    known = labels.select(key, F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col(key).isNotNull())
+    single = known.groupBy(key).agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").drop("most")
+    rows, counts = labelled_sample(docs, single, key, "label", sample, text)
     if not (counts.get(0) and counts.get(1)):
-        return ToxicityModel({}, -40.0)
+        return nothing
+    rows = written(rows.select(F.col(text).alias("text"), "label"))
     terms = [t for t, _, _ in mine(rows)]
     if not terms:
-        return ToxicityModel({}, -40.0)
-    place = {t: i for i, t in enumerate(terms)}
-
-    def seen(text):
-        return sorted(place[t] for t in terms_of(text) if t in place), [int(p) for p in patterns(text)]
-
-    shape = T.StructType([T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("marks", T.ArrayType(T.IntegerType()))])
-    got = rows.select("label", F.udf(seen, shape)("text").alias("s")).select("label", "s.terms", "s.marks").collect()
-    got.sort(key=lambda r: (r["label"], r["terms"], r["marks"]))
-    has = np.zeros((len(got), len(terms)))
-    for i, r in enumerate(got):
-        has[i, r["terms"]] = 1
-    votes = np.hstack([has, np.array([r["marks"] for r in got], float)])
-    gold = np.array([r["label"] for r in got], float)
-    post, _, _, _ = label_model(votes, 0.1 + 0.8 * gold)
-    kept = np.where(gold == 1, counts[1] / max(1, (gold == 1).sum()), counts[0] / max(1, (gold == 0).sum()))
-    w = logistic(has, post, kept, ridge=1e-5)
-    return ToxicityModel({t: float(v) for t, v in zip(terms, w)}, float(w[-1]))
+        return nothing
+    every = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(text).alias("text"))
+    total = every.count()
+    some = sampled(every.withColumn("label", F.lit(2)), "_key", sample, "label", {2: total})
+    some = some.join(known, some["_key"] == known[key], "left_anti").select("text", "label")
+    lexicon = Lexicon(terms)
+
+    @F.arrow_udf("array<int>")
+    def fires(texts: pa.Array) -> pa.Array:
+        texts = texts.to_pylist()
+        return pa.array([found + [len(terms) + i for i, p in enumerate(patterns(t)) if p] for t, found in zip(texts, lexicon.votes(texts))],
+                        pa.list_(pa.int32()))
+
+    got = [(r["label"], r["fires"]) for r in rows.unionByName(some).select("label", fires("text").alias("fires")).collect()]
+    got.sort()
+    gold = np.array([np.nan if k == 2 else k for k, _ in got], float)
+    none = len(terms) + PATTERNS
+    votes = Votes([f if f and f[0] < len(terms) else [*f, none] for _, f in got], none + 1)
+    post, _, _ = label_model(votes, gold, counts[1] / (counts[0] + counts[1]))
+    # rows stand for those that were not picked; unlabelled ones for as many as a labelled row does on average
+    weight = np.ones(len(gold))
+    for k in (0, 1):
+        weight[gold == k] = counts[k] / max(1, (gold == k).sum())
+    weight[np.isnan(gold)] = weight[~np.isnan(gold)].mean()
+    w, b = classifier(Votes([f for _, f in got], none), post, weight)
+    return ToxicityModel({t: float(v) for t, v in zip(terms, w)}, [float(v) for v in w[len(terms):]], float(b))
 
 
 def score(df, model, text="text"):
@@ -192,9 +350,9 @@ def score(df, model, text="text"):
 
 
 def op9_toxicity(spark, sf_dir):
-    """Toxicity score of every document, learnt from three quarters of the labels."""
+    """Toxicity score of every document, learnt from three quarters of the rows and labels."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     held = crc_part("doc_id", 4) == 2
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic").where(~held)
-    model = fit(docs, labels)
+    model = fit(docs.where(~held), labels)
     return score(docs.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "text"), model).drop("text")

@@ -111,16 +111,90 @@ def test_terms_are_mined_by_rate(spark):
     assert set(got) >= {word(0), word(599)} and len(got) == 600  # significant each, none cut
 
 
-def test_label_model_finds_the_classes():
+def test_no_term_is_mined_from_chance(spark):
+    dice = random.Random(8)
+    rows = [(int(dice.random() < 0.1), " ".join(f"{dice.choice('abcd')}{dice.choice('efgh')}word{dice.randrange(4000)}" for _ in range(60)))
+            for _ in range(2000)]
+    assert toxicity.mine(spark.createDataFrame(rows, "label int, text string")) == []
+    assert abs(toxicity.least_g(50) - 10.83) < 0.02  # one in a thousand
+
+
+def test_terms_of_several_words():
+    texts = ["Lostra losty lostrab x", "lostra", None, "", "LOSTRA lostra", "other"]
+    assert "lost**" in toxicity.terms_of(texts[0]) and "lost**" not in toxicity.terms_of("lostra Lostra")
+    terms = ["lost*", "lost**", "losty", "lostr**", "nothing", "othe*"]
+    got = toxicity.Lexicon(terms).votes(texts)
+    assert got == [sorted(i for i, t in enumerate(terms) if t in toxicity.terms_of(x)) for x in texts]
+    kept = [t for t, _, _ in toxicity.one_of_each([("lost*", 9, 9, 0.9), ("lostr*", 8, 8, 0.9), ("lostr**", 7, 7, 1.0), ("losty", 3, 3, 0.8)])]
+    assert kept == ["lost*", "lostr**"]
+
+
+def dense(votes):
+    return toxicity.Votes([np.flatnonzero(v).tolist() for v in votes], votes.shape[1])
+
+
+def test_label_model_holds_labels_and_finds_the_rest():
     rng = np.random.default_rng(1)
-    truth = (rng.random(3000) < 0.2).astype(float)
-    votes = np.stack([np.where(truth == 1, rng.random(3000) < 0.6, rng.random(3000) < 0.02) for _ in range(5)], axis=1)
-    votes = np.hstack([votes, votes[:, :1], (rng.random((3000, 1)) < 0.1)])  # a copy, and a voter that knows nothing
-    start = np.where(votes[:, :5].sum(axis=1) > 0, 0.7, 0.2)
-    post, (zero, one), prior, share = toxicity.label_model(votes, start)
-    assert np.mean((post > 0.5) == (truth == 1)) > 0.97 and abs(prior - 0.2) < 0.03
-    assert share[0] < 0.7 and share[5] < 0.7 and share[1] > 0.8  # the copies share one weight
-    assert abs(one[1] - 0.6) < 0.05 and abs(zero[1] - 0.02) < 0.02
+    truth = (rng.random(4000) < 0.2).astype(float)
+    # two kinds of toxic rows with voters of their own, a copied voter, and one that knows nothing
+    kind = rng.random(4000) < 0.7
+    own = [np.where((truth == 1) & (kind == k), rng.random(4000) < 0.6, rng.random(4000) < 0.02) for k in (True, False) for _ in range(4)]
+    votes = np.stack([*own, own[0], rng.random(4000) < 0.1], axis=1)
+    votes = np.hstack([votes, ~votes[:, :9].any(axis=1, keepdims=True)])
+    known = np.where(rng.random(4000) < 0.3, truth, np.nan)
+    post, (zero, one), keep = toxicity.label_model(dense(votes), known, 0.2)
+    given = ~np.isnan(known)
+    assert (post[given] == truth[given]).all()
+    found = (post > 0.5)[~given]
+    fires = votes[~given][:, :9].any(axis=1)
+    assert np.mean(found[fires] == truth[~given][fires]) > 0.85
+    for k in (True, False):  # neither kind is given up
+        assert np.mean(found[(truth == 1)[~given] & (kind == k)[~given] & fires]) > 0.8
+    assert keep[0] < 0.7 and keep[8] < 0.7 and keep[9] > 0.9 and abs(zero[9] - 0.1) < 0.02
+
+
+def test_correlations_and_classifier_are_those_of_plain_matrices():
+    rng = np.random.default_rng(5)
+    v = (rng.random((300, 200)) < 0.1).astype(float)
+    post = rng.random(300)
+    votes = dense(v)
+    one, zero = rng.random(200) * 0.3, rng.random(200) * 0.1
+    rest = v - (post[:, None] * one + (1 - post)[:, None] * zero)
+    size = np.sqrt((rest ** 2).sum(axis=0))
+    agree = rest.T @ rest / np.outer(size, size)
+    np.fill_diagonal(agree, 1)
+    assert np.allclose(toxicity.shares(votes, post, one, zero), 1 / np.maximum((agree ** 2).sum(axis=0), 1))
+    y, weight = (rng.random(300) < 0.3).astype(float), rng.random(300) + 0.5
+    w, b = toxicity.classifier(votes, y, weight, ridge=0.5)
+    p = 1 / (1 + np.exp(-(v @ w + b)))
+    assert np.abs(v.T @ (weight * (p - y)) + 0.5 * w).max() < 1e-4 and abs((weight * (p - y)).sum()) < 1e-4
+
+
+def test_toxic_documents_of_every_language_are_found(spark):
+    sf = "/root/testdata/sf0.1"
+    truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    held = [r for r in toxicity.op9_toxicity(spark, sf).collect() if r["held_out"] and truth.get(r["doc_id"]) is not None]
+    caught = {}
+    for r in held:
+        if truth[r["doc_id"]] == 1:
+            caught.setdefault(lang[r["doc_id"]], []).append(r["predicted"])
+    assert set(caught) == {"en", "de", "fr", "es"} and all(np.mean(c) > 0.7 for c in caught.values())
+    assert np.mean(sum(caught.values(), [])) > 0.85
+    assert np.mean([r["predicted"] for r in held if truth[r["doc_id"]] == 0]) < 0.01
+
+
+def test_toxicity_of_odd_labels_and_long_texts(spark):
+    rows = [(i, "vile nasty brute words " * 3 + f"w{i}") for i in range(30)] + [(i, f"calm kind plain words w{i}") for i in range(30, 90)]
+    docs = spark.createDataFrame(rows + [(None, "vile"), (91, None), (92, "calm " * 200_000 + "vile nasty brute")], "doc_id long, text string")
+    labels = [(i, 1) for i in range(30)] + [(i, 0) for i in range(30, 90)]
+    odd = labels + [(None, 1), (91, 1), (3, 0), (4, None), (5, 7), (6, 1)]
+    model = toxicity.fit(docs, spark.createDataFrame(odd, "doc_id long, toxic int"))
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, model).collect()}
+    assert all(got[i] == (i < 30) for i in range(90)) and got[91] == 0 and got[92] == 1
+    for none in ([(1, 1)], [(1, None)], [(40, 0)]):
+        model = toxicity.fit(docs, spark.createDataFrame(none, "doc_id long, toxic int"))
+        assert {r["score"] for r in toxicity.score(docs, model).collect()} == {1 / (1 + np.exp(40))}
 
 
 def test_lstm_gradients():
