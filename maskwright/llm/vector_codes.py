@@ -74,6 +74,14 @@ def slices(batch, width):
 
 def nearest(members, book):
     """(index, squared distance) of the nearest entry of each member, the first of several."""
+    most = max(int(np.abs(members).max(initial=0)), int(np.abs(book).max(initial=0)))
+    if 4 * members.shape[1] * most * most < 1 << 53:
+        # all sums are integers that doubles hold exactly
+        m, b = members.astype(np.float64), book.astype(np.float64)
+        off = (b * b).sum(axis=1) - 2 * (m @ b.T)
+        best = off.argmin(axis=1)
+        least = off[np.arange(len(m)), best] + (m * m).sum(axis=1)
+        return best, least.astype(np.int64)
     best = np.zeros(len(members), np.int64)
     least = np.full(len(members), np.iinfo(np.int64).max)
     for e, entry in enumerate(book):

@@ -77,6 +77,16 @@ def test_few_and_no_vectors(spark):
         assert vc.codebooks(none) is None and vc.with_sums(vc.encode(none, None)).count() == 0
 
 
+def test_nearest_is_exact_for_small_and_large_numbers():
+    rng = np.random.default_rng(6)
+    for most in (3, 5000, vc.BOUND):
+        members, book = rng.integers(-most, most + 1, (500, 8)), rng.integers(-most, most + 1, (16, 8))
+        members[:3] = [[most] * 8, [-most] * 8, [0] * 8]
+        best, least = vc.nearest(members, book)
+        off = ((members[:, None, :] - book[None]) ** 2).sum(axis=2)
+        assert best.tolist() == off.argmin(axis=1).tolist() and least.tolist() == off.min(axis=1).tolist()
+
+
 def test_only_members_of_another_entry_move(spark):
     """The members of an owner's chunks after a round: those that stay and those that come."""
     rng = np.random.default_rng(1)
