@@ -344,19 +344,10 @@ _REDACTED_LINES = f"""{FOUND}, lined AS (SELECT doc_id, ordered, unnest(range(le
     SELECT doc_id, line, masked_text, masked_text <> text AS changed FROM masked"""
 ORACLES["redact_segments"] = _REDACTED_LINES
 ORACLES["redact_segments_by_list"] = _REDACTED_LINES
-# Pieces of 2000 characters that start every 1800; what each piece holds, in order.
-_PIECES = """list_transform(range(greatest(CAST(ceil((length(text) - 200) / 1800.0) AS BIGINT), 1)),
-    lambda i: substr(text, i * 1800 + 1, 2000))"""
-
-
-def _in_pieces(found):
-    return first_seen(f"flatten(list_transform(pieces, lambda c: {found}))")
-
-
-ORACLES["infer_pii_chunks"] = f"""WITH cut AS (SELECT doc_id, {_PIECES} AS pieces FROM documents)
-    SELECT doc_id, CAST(NULL AS VARCHAR) AS detect_status, '' AS address, '' AS company_name,
-    {flat(_in_pieces(emails('c')))} AS email_address, '' AS human_name,
-    {flat(_in_pieces(f"list_filter(regexp_extract_all(c, '{PHONE}'), lambda p: contains(p, '('))"))} AS phone_number FROM cut"""
+# Whole texts: how they are cut must not show.
+ORACLES["infer_pii_chunks"] = f"""SELECT doc_id, CAST(NULL AS VARCHAR) AS detect_status, '' AS address, '' AS company_name,
+    {flat(first_seen(emails('text')))} AS email_address, '' AS human_name,
+    {flat(first_seen(f"list_filter(regexp_extract_all(text, '{PHONE}'), lambda p: contains(p, '('))"))} AS phone_number FROM documents"""
 ORACLES["mask_stream"] = ORACLES["mask_documents"]
 ORACLES["mask_stream_by_model"] = ORACLES["mask_documents_by_model"]
 ORACLES["mask_stream_by_dictionary"] = ORACLES["mask_documents_by_dictionary"]

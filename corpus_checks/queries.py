@@ -181,8 +181,9 @@ def infer_pii(spark, sf):
 
 
 def infer_pii_chunks(spark, sf):
+    """Pieces far shorter than most texts; some values are longer than their overlap."""
     found = inference.infer_pii(
-        d.documents(spark, sf), pattern_model, chunk_chars=2000, overlap_chars=200
+        d.documents(spark, sf), pattern_model, batch_size=512, chunk_chars=60, overlap_chars=10, reach_chars=48
     )
     return flat(pii_columns(found, "doc_id", "detect_status"))
 

@@ -4,13 +4,17 @@ The model itself is the user's: `make_model(**limits)` runs once per Python work
 and returns a function from a list of prompts to a list of raw answers.
 """
 
+from functools import reduce
+
 import numpy as np
 from pyspark.ml.functions import predict_batch_udf
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskwright.functions.answers import STOP_MARKS, build_prompt, read_answer
 from maskwright.functions.entities import empty_list, pii_struct
+from maskwright.operators import stitching
 from maskwright.operators.joins import skew_join
 from maskwright.schema import FAILED, KINDS, PARSE_FAILED
 from maskwright.session import durable
@@ -73,19 +77,19 @@ def _answered(pieces, spread_by, make_model, batch_size, strip_control):
 
 def infer_pii(
     docs, make_model, id_col="doc_id", batch_size=16, max_chars=None,
-    chunk_chars=None, overlap_chars=200, strip_control=False, with_raw=False,
+    chunk_chars=None, overlap_chars=200, reach_chars=0, strip_control=False, with_raw=False,
 ):
     """Add `pii` and `detect_status` by asking the model about each `text`.
 
-    A text over `max_chars` gets status `failed`. With `chunk_chars` long texts
-    are asked about in overlapping pieces instead, and the values of all pieces are
-    joined per document; `id_col` has to be unique then.
+    A text over `max_chars` gets status `failed`. With `chunk_chars` long texts are
+    asked about in pieces instead that overlap by `overlap_chars`, and the values are
+    those of whole texts: ones that a cut divides come from a neighbouring or a wider
+    piece. Where values can be longer than the overlap without any part of them being
+    found, `reach_chars` says how long; the places around all cuts are asked about then.
     """
     text = F.col("text")
     if chunk_chars:
-        return _infer_chunks(
-            docs, make_model, id_col, batch_size, chunk_chars, overlap_chars, strip_control
-        )
+        return _infer_chunks(docs, make_model, batch_size, chunk_chars, overlap_chars, reach_chars, strip_control)
     fits = F.lit(True) if max_chars is None else F.length(text) <= max_chars
     # A text that is not asked about stands aside while the others are answered.
     pieces = docs.withColumn("_whole", text).withColumn("text", F.when(fits, text))
@@ -100,36 +104,40 @@ def infer_pii(
     return out.select(*docs.columns, "pii", "detect_status", *(["raw"] if with_raw else []))
 
 
-def chunks(text, size, overlap):
-    """Pieces of at most `size` characters, each sharing `overlap` with the next."""
-    if not 0 <= overlap < size:
-        raise ValueError("overlap has to be smaller than the chunk")
-    step = size - overlap
-    last = F.greatest(F.ceil((F.length(text) - overlap) / step), F.lit(1)).cast("int") - 1
-    return F.transform(
-        F.sequence(F.lit(0), last), lambda i: F.substring(text, i * step + 1, F.lit(size))
-    )
-
+def _infer_chunks(docs, make_model, batch_size, size, overlap, reach, strip_control):
+    """Values of whole texts from answers about pieces; see `stitching`.
 
-def _infer_chunks(docs, make_model, id_col, batch_size, size, overlap, strip_control):
-    text = F.col("text")
-    pieces = docs.filter(text.isNotNull()).select(
-        id_col, F.posexplode_outer(chunks(text, size, overlap)).alias("chunk", "text")
-    )
-    spread_by = [id_col, "chunk"]
-    answered = _answered(pieces, spread_by, make_model, batch_size, strip_control)
-    read = answered.drop("text").withColumn("_read", read_answer(F.col("raw")))
-
-    def union_of(kind):
-        lists = F.array_sort(F.collect_list(F.struct("chunk", F.col("_read.pii")[kind].alias("v"))))
-        return F.array_distinct(F.flatten(F.transform(lists, lambda x: x["v"])))
-
-    per_doc = read.groupBy(id_col).agg(
-        *[union_of(kind).alias(kind) for kind in KINDS],
-        F.bool_or(F.col("raw").isNull()).alias("_failed"),
-        F.bool_or(F.col("_read.status").isNotNull()).alias("_broken"),
+    Equal texts are cut and asked about once. Every round's answers are written, and
+    rounds end when no hit is left open at a cut: a piece asked for is twice as wide as
+    the one before, so there are few.
+    """
+    spark = docs.sparkSession
+    keyed = docs.withColumn("_of", F.coalesce(F.sha2("text", 256), F.concat(F.lit("-"), F.xxhash64(*docs.columns).cast("string"))))
+    texts = durable(
+        spark,
+        keyed.filter(F.col("text").isNotNull()).groupBy("_of").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n")),
+        "texts",
     )
-    joined = docs.join(per_doc, id_col, "left")
+    new = stitching.pieces(texts, "_of", size, overlap, reach)
+    rounds = []
+    while True:
+        answered = _answered(new, ["_of", "begin", "end"], make_model, batch_size, strip_control)
+        read = answered.withColumn("_read", read_answer(F.col("raw"))).select(
+            "_of", "begin", "end", "size", "text", F.col("_read.pii").alias("pii"),
+            F.col("raw").isNull().alias("_failed"), F.col("_read.status").isNotNull().alias("_broken"),
+        )
+        found = durable(spark, stitching.placed(read, "_of").drop("text", "pii"), "found")
+        rounds.append(found)
+        asked = reduce(DataFrame.unionByName, rounds)
+        hits = found.select("_of", "size", F.explode("hits").alias("h")).select("_of", "size", "h.*")
+        wanted = durable(spark, stitching.open_places(hits, asked, "_of", size), "wanted")
+        if wanted.isEmpty():
+            break
+        new = stitching.wider_pieces(texts, "_of", wanted)
+    every = asked.select("_of", F.explode("hits").alias("h")).select("_of", "h.*")
+    marks = asked.groupBy("_of").agg(F.bool_or("_failed").alias("_failed"), F.bool_or("_broken").alias("_broken"))
+    per_text = marks.join(stitching.stitched(every, "_of"), "_of", "left")
+    joined = skew_join(keyed, per_text, ["_of"], docs.columns, counts=texts.select("_of", "n"))
     status = (
         F.when(F.coalesce(F.col("_failed"), F.lit(True)), F.lit(FAILED))
         .when(F.col("_broken"), F.lit(PARSE_FAILED))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from maskwright.plans import detectors
-from maskwright.operators import assembly, boxes, cells, entities, gazetteer, inference, joins, masking
+from maskwright.operators import assembly, boxes, cells, entities, gazetteer, inference, joins, masking, stitching
 from maskwright.plans import detectors
 from maskwright.plans.mask_documents import mask_documents
 
@@ -282,15 +282,83 @@ def test_infer_and_parse_errors(spark):
         mask_documents(docs, on_parse_error="ignore")
 
 
-def test_chunks_cover_long_texts(spark):
-    text = " ".join(["x"] * 40 + ["Zoe"] + ["y"] * 40 + ["Max"] + ["Zoe"])
-    docs = spark.createDataFrame([(1, text), (2, "Al"), (3, ""), (4, None)], "doc_id long, text string")
-    pieces = docs.filter("doc_id = 1").select(inference.chunks(F.col("text"), 30, 10).alias("c")).first()["c"]
-    assert "".join([pieces[0]] + [p[10:] for p in pieces[1:]]) == text
-    assert all(len(p) == 30 for p in pieces[:-1])
-    found = inference.infer_pii(docs, loud_model, chunk_chars=30, overlap_chars=10)
-    # A value cut by the edge of a piece is masked in part as well as whole.
-    names = list(dict.fromkeys(w for p in pieces for w in re.findall("[A-Z][a-z]+", p)))
-    assert {"Zoe", "Max"} <= set(names)
+def make_runs_model():
+    def runs_model(stop, context_tokens, max_new_tokens):
+        """Finds whole runs of capitalised words, and numbers in brackets of any length."""
+        import json
+        import re
+
+        def answer(prompt):
+            body = prompt.split("user\n", 1)[1].split(stop[0], 1)[0]
+            if "choke" in body:
+                raise ValueError("choked")
+            if "mumble" in body:
+                return '{"human_name": "z"}'
+            names = re.findall(r"(?<![A-Za-z])[A-Z][a-z]+(?: [A-Z][a-z]+)*(?![A-Za-z])", body)
+            return json.dumps({"human_name": names, "phone_number": re.findall(r"<[0-9 ]*>", body)})
+
+        return lambda prompts: [answer(p) for p in prompts]
+
+    return runs_model
+
+
+runs_model = make_runs_model()
+
+
+def whole_names(text):
+    return re.findall(r"(?<![A-Za-z])[A-Z][a-z]+(?: [A-Z][a-z]+)*(?![A-Za-z])", text)
+
+
+def long_text(dice, words):
+    out = []
+    while len(out) < words:
+        kind = dice.random()
+        if kind < 0.15:
+            out += [dice.choice(["Ann", "Bo", "Cy", "Dora"]) for _ in range(dice.choice([1, 1, 2, 3, 40]))]
+        elif kind < 0.2:
+            out.append("<" + " ".join(str(dice.randint(0, 99)) for _ in range(dice.randint(1, 9))) + ">")
+        else:
+            out.append(dice.choice(["and", "of", "xAnn", "the\n", "very" * 9, "a", "Annals,", "to\tbe"]))
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("size,overlap,reach", [(60, 10, 40), (200, 40, 40), (40, 0, 30), (1000, 100, 0)])
+def test_pieces_give_the_values_of_whole_texts(spark, size, overlap, reach):
+    dice = random.Random(size)
+    texts = [long_text(dice, n) for n in (1, 20, 60, 200, 700)] + ["", "Ann", "x" * 500 + " Ann Bo " + "y" * 300, "Ann " * 100 + "end"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, texts[2]), (1, texts[3]), (77, None)],
+                                 "doc_id long, text string")
+    found = inference.infer_pii(docs, runs_model, chunk_chars=size, overlap_chars=overlap, reach_chars=reach)
+    got = found.select("doc_id", "text", "pii.human_name", "pii.phone_number", "detect_status").collect()
+    assert found.columns == ["doc_id", "text", "pii", "detect_status"] and len(got) == docs.count()
+    for _, text, names, numbers, status in got:
+        assert status == ("failed" if text is None else None)
+        assert names == list(dict.fromkeys(whole_names(text or "")))  # runs are found in part, so of any length
+        short = [n for n in re.findall(r"<[0-9 ]*>", text or "") if len(n) <= max(overlap, reach)]
+        assert list(dict.fromkeys(short)) == [n for n in numbers if len(n) <= max(overlap, reach)]
+
+
+def test_pieces_that_fail(spark):
+    texts = [(1, "Ann " + "x " * 60 + "choke"), (2, "Ann " + "x " * 60 + "mumble"), (3, "Ann " + "x " * 60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    found = inference.infer_pii(docs, runs_model, chunk_chars=40, overlap_chars=10)
     assert rows(found.select("doc_id", "pii.human_name", "detect_status"), "doc_id") == [
-        (1, names, None), (2, ["Al"], None), (3, [], None), (4, [], "failed")]
+        (1, ["Ann"], "failed"), (2, ["Ann"], "parse_failed"), (3, ["Ann"], None)]
+
+
+def test_cuts():
+    dice = random.Random(4)
+    for _ in range(300):
+        text = "".join(dice.choice("ab  c\n") if dice.random() < 0.9 else "z" * 30 for _ in range(dice.randint(0, 300)))
+        size = dice.randint(2, 50)
+        overlap, reach = dice.randint(0, size - 1), dice.randint(0, 80)
+        places = stitching.cuts(text, size, overlap, 0)
+        assert places[0][0] == 0 and places[-1][1] == len(text) and all(e - b <= size for b, e in places)
+        for (_, end), (begin, _) in zip(places, places[1:]):
+            assert end - begin >= overlap  # neighbours share at least that
+        spans = stitching.cuts(text, size, overlap, reach)
+        for length in {1, overlap, reach} - {0}:
+            for at in range(len(text) - length + 1):
+                assert any(b <= at and at + length <= e for b, e in spans)
+    with pytest.raises(ValueError):
+        stitching.cuts("a", 5, 5, 0)
