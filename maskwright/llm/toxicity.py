@@ -52,10 +52,15 @@ _MARKS = re.compile(r"[!?]{2,}").search
 PATTERNS = 3
 
 
+def folded(words):
+    """The distinct words, in lower case."""
+    return {w.lower() for w in set(words)}
+
+
 def terms_of(text):
     """The distinct words of a text and their first letters, marked with `*`, or with `**` if
     several words have them."""
-    words = set(_WORDS(text.lower())) if text else set()
+    words = folded(_WORDS(text or ""))
     found = set(words)
     for n in PREFIXES:
         begin = [w[:n] for w in words if len(w) > n]
@@ -66,13 +71,13 @@ def terms_of(text):
     return found
 
 
-def patterns(text):
-    """Votes of the pattern voters: shouting, runs of marks, runs of one word."""
-    words = _WORDS(text) if text else []
+def patterns(text, words):
+    """Votes of the pattern voters on a text and its words: shouting, runs of marks, runs of one
+    word."""
     loud = sum(map(str.isupper, words))
     return [
         len(words) >= 5 and loud > 0.7 * len(words),
-        _MARKS(text or "") is not None,
+        _MARKS(text) is not None,
         any(a == b == c == d for a, b, c, d in zip(words, words[1:], words[2:], words[3:]) if len(a) > 1),
     ]
 
@@ -101,11 +106,11 @@ class Lexicon:
         return alone, paired
 
     def votes(self, texts):
-        """Places of the terms in each text, sorted. Words are looked up once."""
+        """Places of the terms in each text (a list of words), sorted. Words are looked up once."""
         known, out = {}, []
-        for text in texts:
+        for words in texts:
             found, half = set(), set()
-            for word in set(_WORDS(text.lower())) if text and self.terms else ():
+            for word in folded(words) if self.terms else ():
                 places = known.get(word)
                 if places is None:
                     places = known[word] = self.of(word)
@@ -126,10 +131,11 @@ class ToxicityModel:
     def scores(self, texts):
         own = np.array([*self.weights.values(), 0.0])
         totals = np.full(len(texts), float(self.intercept))
-        for i, (text, places) in enumerate(zip(texts, self.lexicon.votes(texts))):
+        words = [_WORDS(text or "") for text in texts]
+        for i, places in enumerate(self.lexicon.votes(words)):
             totals[i] += own[places].sum()
-            if text and any(self.marks):
-                totals[i] += sum(w for w, fires in zip(self.marks, patterns(text)) if fires)
+            if any(self.marks):
+                totals[i] += sum(w for w, fires in zip(self.marks, patterns(texts[i] or "", words[i])) if fires)
         return (1 / (1 + np.exp(-np.clip(totals, -40, 40)))).tolist()
 
 
@@ -320,9 +326,10 @@ def fit(docs, labels, key="doc_id", text="text", label="toxic", sample=SAMPLE):
 
     @F.arrow_udf("array<int>")
     def fires(texts: pa.Array) -> pa.Array:
-        texts = texts.to_pylist()
-        return pa.array([found + [len(terms) + i for i, p in enumerate(patterns(t)) if p] for t, found in zip(texts, lexicon.votes(texts))],
-                        pa.list_(pa.int32()))
+        texts = [t or "" for t in texts.to_pylist()]
+        words = [_WORDS(t) for t in texts]
+        return pa.array([found + [len(terms) + i for i, p in enumerate(patterns(t, w)) if p]
+                         for t, w, found in zip(texts, words, lexicon.votes(words))], pa.list_(pa.int32()))
 
     got = [(r["label"], r["fires"]) for r in rows.unionByName(some).select("label", fires("text").alias("fires")).collect()]
     got.sort()
