@@ -180,10 +180,9 @@ def infer_pii(spark, sf):
     return flat(pii_columns(found, "doc_id", "detect_status"))
 
 
-def infer_pii_chunks(spark, sf):
-    """Pieces far shorter than most texts; some values are longer than their overlap."""
+def infer_pii_chunks(spark, sf, size=2000, overlap=200, reach=0):
     found = inference.infer_pii(
-        d.documents(spark, sf), pattern_model, batch_size=512, chunk_chars=60, overlap_chars=10, reach_chars=48
+        d.documents(spark, sf), pattern_model, batch_size=512, chunk_chars=size, overlap_chars=overlap, reach_chars=reach
     )
     return flat(pii_columns(found, "doc_id", "detect_status"))
 

@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 import check_oracles
 from corpus_checks.oracles import ORACLES
-from corpus_checks.queries import QUERIES
+from corpus_checks.queries import QUERIES, infer_pii_chunks
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are absent")
@@ -23,6 +23,12 @@ def test_query_equals_sql(spark, con, name):
     assert check_oracles.compare(spark, con, name, SF) is None
 
 
+def test_short_pieces_give_whole_values(spark, con):
+    """Pieces far shorter than most texts; many values are longer than their overlap."""
+    short = lambda spark, sf: infer_pii_chunks(spark, sf, size=60, overlap=10, reach=48)
+    assert check_oracles.compare(spark, con, "infer_pii_chunks", SF, short) is None
+
+
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
     assert set(QUERIES) <= set(entry.queries())
