@@ -351,6 +351,7 @@ ORACLES["infer_pii_chunks"] = f"""SELECT doc_id, CAST(NULL AS VARCHAR) AS detect
 ORACLES["mask_stream"] = ORACLES["mask_documents"]
 ORACLES["mask_stream_by_model"] = ORACLES["mask_documents_by_model"]
 ORACLES["mask_stream_by_dictionary"] = ORACLES["mask_documents_by_dictionary"]
+ORACLES["mask_stream_by_dictionary_in_scan"] = ORACLES["mask_documents_by_dictionary"]
 ORACLES["mask_file_stream_to_files"] = ORACLES["mask_corpus"]
 ORACLES["unreadable_packages"] = f"""SELECT {path(EXT)} AS path, lower({EXT}) AS ext, true AS has_error
     FROM documents WHERE source = 'src1' AND {EXT} <> '.TXT'"""

@@ -230,10 +230,10 @@ def _page_emails(spark, sf):
     return flat(pages.select("page_id", detect.detect_email(F.col("html")).alias("email_address")))
 
 
-def _gazetteer(method):
+def _gazetteer(**options):
     def query(spark, sf):
         found = gazetteer.detect_gazetteer(
-            d.documents(spark, sf), d.dictionary(spark, sf), method=method
+            d.documents(spark, sf), d.dictionary(spark, sf), **options
         )
         return flat(pii_columns(found, "doc_id"))
 
@@ -463,10 +463,18 @@ def mask_stream_by_model(spark, sf):
 
 
 def mask_stream_by_dictionary(spark, sf):
-    by_grams = detectors.by_dictionary(d.dictionary(spark, sf), method="grams")
+    by_grams = detectors.by_dictionary(d.dictionary(spark, sf), values_bytes=0)
     return _mask_batches(spark, sf, detectors.combined(detectors.by_rules(), by_grams))
 
 
+def mask_stream_by_dictionary_in_scan(spark, sf):
+    """A dictionary that fits into the tasks needs no batches: the stream is one narrow plan."""
+    both = detectors.combined(detectors.by_rules(), detectors.by_dictionary(d.dictionary(spark, sf)))
+    sink = work_path(spark, "stream")
+    mask_document_stream(_arriving(spark, sf), sink, work_path(spark, "stream-log"), detect=both).awaitTermination()
+    return spark.read.parquet(sink)
+
+
 def mask_file_stream_to_files(spark, sf):
     source = d.folder(spark, d.file_rows(spark, sf).select("path", "content"))
     target = work_path(spark, "masked")
@@ -512,8 +520,8 @@ QUERIES = {
     "detect_phone": _detector(detect.detect_phone, "phone_number"),
     "detect_address": _detector(detect.detect_address, "address"),
     "detect_email_in_pages": _page_emails,
-    "detect_gazetteer": _gazetteer(None),
-    "detect_gazetteer_grams": _gazetteer("grams"),
+    "detect_gazetteer": _gazetteer(),
+    "detect_gazetteer_grams": _gazetteer(values_bytes=0),
     "entities_all": entities_all,
     "entities_distinct": entities_distinct,
     "entities_longest_first": entities_longest_first,
@@ -549,6 +557,7 @@ QUERIES = {
     "mask_stream": mask_stream,
     "mask_stream_by_model": mask_stream_by_model,
     "mask_stream_by_dictionary": mask_stream_by_dictionary,
+    "mask_stream_by_dictionary_in_scan": mask_stream_by_dictionary_in_scan,
     "mask_file_stream": mask_file_stream_query,
     "mask_file_stream_to_files": mask_file_stream_to_files,
 }

@@ -15,8 +15,9 @@ def by_rules(rules=rule_pii):
     return lambda docs: docs.withColumn("pii", rules(F.col("text")))
 
 
-def by_dictionary(dictionary, id_col="doc_id", method=None):
-    return lambda docs: detect_gazetteer(docs, dictionary, id_col, "text", method)
+def by_dictionary(dictionary, id_col="doc_id", **options):
+    """A dictionary up to `values_bytes` is searched in the scan, so it works on streams as well."""
+    return lambda docs: detect_gazetteer(docs, dictionary, id_col, "text", **options)
 
 
 def by_model(make_model, id_col="doc_id", **options):

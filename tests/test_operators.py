@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from maskwright.plans import detectors
-from maskwright.operators import assembly, boxes, cells, entities, gazetteer, inference, joins, masking, stitching
+from maskwright.operators import assembly, boxes, cells, entities, gazetteer, gram_scan, inference, joins, masking, stitching
 from maskwright.plans import detectors
 from maskwright.plans.mask_documents import mask_documents
 
@@ -213,8 +213,8 @@ def test_gazetteer_ways_agree(spark):
     texts = [(1, "田中太郎は株式会社サンプルの田中"), (2, "Jo at 12 Mill Road\nand 𠮷田"), (3, "none"), (4, None), (5, "")]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     results = []
-    for method in ("inline", "grams"):
-        found = gazetteer.detect_gazetteer(docs, dictionary, method=method)
+    for size in (gazetteer.VALUES_BYTES, 0):  # in the scan, by joins
+        found = gazetteer.detect_gazetteer(docs, dictionary, values_bytes=size)
         results.append(rows(found.select("doc_id", "pii.address", "pii.company_name", "pii.human_name"), "doc_id"))
     want = [(1, [], ["株式会社サンプル"], ["田中", "田中太郎"]), (2, ["12 Mill Road"], [], ["Jo", "𠮷"]),
             (3, [], [], []), (4, [], [], []), (5, [], [], [])]
@@ -226,8 +226,8 @@ def test_gazetteer_with_null_and_repeated_ids(spark):
     texts = [(None, "Jo"), (None, None), (1, "Jo and Ann"), (1, "Ann"), (2, "Ann"), (2, "Ann"), (None, "none")]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     want = sorted([(i, t, [v for v in ("Jo", "Ann") if t and v in t]) for i, t in texts], key=str)
-    for method in ("inline", "grams"):
-        found = gazetteer.detect_gazetteer(docs, dictionary, method=method)
+    for size in (gazetteer.VALUES_BYTES, 0):  # in the scan, by joins
+        found = gazetteer.detect_gazetteer(docs, dictionary, values_bytes=size)
         assert sorted(map(tuple, found.select("doc_id", "text", "pii.human_name").collect()), key=str) == want
 
 
@@ -245,16 +245,41 @@ def test_combined_models_have_one_outcome(spark):
 
 
 def test_large_dictionary_is_not_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(gazetteer, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(gazetteer, "BROADCAST_BYTES", 0)  # on the driver, where plans are made
     rng = random.Random(3)
     names = sorted({"".join(rng.choice("abc ") for _ in range(rng.randint(1, 9))) for _ in range(700)})
     dictionary = spark.createDataFrame([("human_name", n) for n in names], "kind string, value string")
     texts = ["".join(rng.choice("abc ") for _ in range(60)) for _ in range(20)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = gazetteer.detect_gazetteer(docs, dictionary)
-    for doc_id, got in rows(found.select("doc_id", "pii.human_name")):
-        text = texts[doc_id]
-        assert got == sorted((n for n in names if n in text), key=lambda n: (text.find(n), n))
+    for size in (gazetteer.VALUES_BYTES, 0):
+        found = gazetteer.detect_gazetteer(docs, dictionary, values_bytes=size)
+        for doc_id, got in rows(found.select("doc_id", "pii.human_name")):
+            text = texts[doc_id]
+            assert got == sorted((n for n in names if n in text), key=lambda n: (text.find(n), n))
+
+
+def test_values_are_found_where_plain_search_finds_them():
+    dice = random.Random(1)
+    for _ in range(150):
+        letters = dice.choice(["ab", "abc é日", "abcdefgh "])
+        word = lambda most: "".join(dice.choice(letters) for _ in range(dice.randint(1, most))).encode()
+        values = sorted({word(20) for _ in range(dice.randint(1, 40))})
+        texts = [word(200) if dice.random() < 0.9 else b"" for _ in range(dice.randint(0, 6))]
+        got = [tuple(r) for r in gram_scan.Values(values).find(texts).tolist()]
+        want = [(t, v, text.find(value)) for t, text in enumerate(texts) for v, value in enumerate(values) if value in text]
+        assert got == sorted(want, key=lambda r: (r[0], r[2], r[1]))
+
+
+def test_dictionary_in_the_scan_has_no_shuffle(spark):
+    docs = spark.createDataFrame([(1, "Ann and Bob")], "doc_id long, text string")
+    names = spark.createDataFrame([("human_name", f"Name{i}") for i in range(3000)] + [("human_name", "Bob")], "kind string, value string")
+    found = gazetteer.detect_gazetteer(docs, names)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan and "ArrowEvalPython" in plan
+    assert found.first()["pii"]["human_name"] == ["Bob"]
+    by_join = gazetteer.detect_gazetteer(docs, names, values_bytes=0)
+    grams = by_join.select(F.col("pii.human_name"))
+    assert grams.first()[0] == ["Bob"]
 
 
 def test_combined_detectors_and_counts(spark):
