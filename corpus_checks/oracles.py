@@ -222,7 +222,8 @@ def text_list(items):
 
 
 ORACLES = {
-    "scan_files": f"SELECT {path(EXT)} AS path, lower({EXT}) AS ext FROM documents",
+    "scan_files": f"""SELECT concat('/c/', source, '/', CASE doc_id % 5 WHEN 1 THEN '.' WHEN 2 THEN '_' ELSE '' END, doc_id, {EXT}) AS path,
+        lower({EXT}) AS ext, doc_id % 7 = 3 OR ({EXT} = '.TXT' AND text = '') AS empty, true AS whole FROM documents""",
     "scan_paths": f"""SELECT {path(EXT)} AS path, lower({EXT}) AS ext FROM documents
         UNION ALL SELECT concat('/p/', page_id, '.md'), '.md' FROM pages""",
     "scan_text": f"""SELECT {path("CASE lang WHEN 'de' THEN '.rtf' WHEN 'fr' THEN '.Md' ELSE '.txt' END")} AS path,

@@ -59,13 +59,19 @@ def pattern_model(stop, context_tokens, max_new_tokens):
 
 
 def scan_files(spark, sf):
-    rows = d.file_rows(spark, sf).select("path", "content")
+    """A fifth of the names begin with a dot, a fifth with a low line, and a seventh of the files are empty."""
+    sign = F.when(F.col("doc_id") % 5 == 1, ".").when(F.col("doc_id") % 5 == 2, "_").otherwise("")
+    rows = d.file_rows(spark, sf).select(
+        F.concat(F.regexp_extract("path", "^.*/", 0), sign, F.regexp_extract("path", "[^/]+$", 0)).alias("path"),
+        F.when(F.col("doc_id") % 7 == 3, F.unhex(F.lit(""))).otherwise(F.col("content")).alias("content"))
     html = d.table(spark, sf, "pages").select(
         F.concat(F.lit("/c/pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"),
         F.encode("html", "UTF-8").alias("content"),
     )
     root = d.folder(spark, rows.unionByName(html))
-    return files.scan_files(spark, root).select(d.below(root).alias("path"), "ext")
+    found = files.scan_files(spark, root)
+    return found.select(d.below(root).alias("path"), "ext", (F.col("length") == 0).alias("empty"),
+                        (F.length("content") == F.col("length")).alias("whole"))
 
 
 def scan_paths(spark, sf):
