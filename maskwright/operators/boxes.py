@@ -3,12 +3,10 @@
 from pyspark.sql import functions as F
 
 from maskwright.functions.text import is_blank
-from maskwright.operators.joins import salted_join, skew_join
+from maskwright.operators.joins import salted_join, skew_join, that_may_match
 from maskwright.session import durable
 
 START_BLOCK = 1024
-#: Blocks of 64 bits in the filter that words have to pass before they are joined: a bound on what is broadcast.
-FILTER_BLOCKS = 1 << 20
 
 
 def _phrase_tokens(phrases, key):
@@ -34,27 +32,6 @@ def _phrase_tokens(phrases, key):
     )
 
 
-def _block_and_bit(*columns):
-    place = F.xxhash64(*columns)
-    return (
-        F.pmod(place, F.lit(FILTER_BLOCKS)).cast("int"),
-        F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(place, 32), F.lit(64)).cast("int")),
-    )
-
-
-def _that_may_match(words, parts, keys):
-    """The words whose keys a table of bits knows from `parts`: all that can match, and hardly
-    any others as long as `parts` has far fewer rows than the table has bits. The table is an
-    aggregate of `FILTER_BLOCKS` rows at most and broadcast, so the others are left out where
-    they are scanned. Null keys match nothing."""
-    block, bit = _block_and_bit(*keys)
-    table = parts.dropna(subset=keys).select(block.alias("_block"), bit.alias("_bit")).groupBy("_block").agg(
-        F.bit_or("_bit").alias("_bits"))
-    known = words.dropna(subset=keys).withColumn("_block", block).withColumn("_bit", bit)
-    return known.join(F.broadcast(table), "_block").where(
-        F.col("_bits").bitwiseAND(F.col("_bit")) != 0).drop("_block", "_bit", "_bits")
-
-
 def phrase_boxes(words, phrases, key="doc_id"):
     """Boxes `(doc_id, phrase, page, start, x, y, w, h)` of a document's phrases.
 
@@ -69,7 +46,7 @@ def phrase_boxes(words, phrases, key="doc_id"):
     folder once, as phrases that can overlap themselves take a second look at them.
     """
     parts = durable(words.sparkSession, _phrase_tokens(phrases, key), "tokens")
-    some = _that_may_match(words.withColumn("_token", F.lower("word")), parts, [key, "_token"])
+    some = that_may_match(words.withColumn("_token", F.lower("word")), parts, [key, "_token"])
     votes = salted_join(some, parts, [key, "_token"], ["page", "pos"], "inner")
     k, n = F.col("_k"), F.col("_n")
     matches = (

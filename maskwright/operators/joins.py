@@ -9,6 +9,8 @@ DEFAULT_SALTS = 16
 
 # A key is hot with more rows than HOT_ROWS, and is split into parts of about that size.
 HOT_ROWS = 100_000
+#: Blocks of 64 bits in a table of bits that rows have to pass before a join: a bound on what is broadcast.
+FILTER_BLOCKS = 1 << 20
 # Null keys match nothing and are only spread.
 NULL_SALTS = 4096
 
@@ -71,3 +73,30 @@ def skew_join(left, right, keys, spread_by, how="left", counts=None):
 
 def _pmod_salt(spread_by, parts):
     return F.pmod(F.xxhash64(*spread_by), parts.cast("long")).cast("int")
+
+
+def _block_and_bit(keys):
+    place = F.xxhash64(*keys)
+    return (
+        F.pmod(place, F.lit(FILTER_BLOCKS)).cast("int"),
+        F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(place, 32), F.lit(64)).cast("int")),
+    )
+
+
+def with_may_match(left, right, keys):
+    """`left` with `_may`, false where `right` has no row with these keys; it may be true of few
+    others as long as `right` has far fewer rows than the table of bits. The table is an
+    aggregate of `FILTER_BLOCKS` rows at most and broadcast, so `left` is not moved."""
+    block, bit = _block_and_bit(keys)
+    table = right.dropna(subset=keys).select(block.alias("_block"), bit.alias("_bit")).groupBy("_block").agg(
+        F.bit_or("_bit").alias("_bits"))
+    known = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    marked = left.withColumn("_block", F.when(known, block)).withColumn("_bit", bit)
+    joined = marked.join(F.broadcast(table), "_block", "left")
+    may = F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False))
+    return joined.withColumn("_may", may).drop("_block", "_bit", "_bits")
+
+
+def that_may_match(left, right, keys):
+    """The rows of `left` that may have a match; the others are left out where they are scanned."""
+    return with_may_match(left, right, keys).where("_may").drop("_may")
