@@ -11,22 +11,26 @@ renamed, and notices, adverts, forms, menus and comments from other pages are pu
 that the model learns kinds of blocks and not one layout.
 
 A null, empty or blank page has the empty text. Pages with nothing but other blocks have
-it too. Repeated rows give repeated results.
+it too. Repeated rows give repeated results. A page may be as long and as deeply nested as it
+likes: its blocks are read in parts, and what is known of a path is worked out from that of
+the path above. Pages that are very long or deep do not teach, and neither do those with a
+null key.
 """
 
 import random
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyspark.sql.types as T
 from pyspark.sql import functions as F
 
 from maskwright.llm.common import map_texts, table
-from maskwright.llm.html_blocks import page_blocks
+from maskwright.llm.html_blocks import Path, page_blocks
 
-#: Pages to learn from, at most, and the longest of these.
+#: Pages to learn from, at most, and the longest and the deepest of these.
 SAMPLE = 128
-SAMPLE_CHARS = 200_000
+SAMPLE_CHARS, SAMPLE_DEPTH = 200_000, 200
 PATH_PLACES, WORD_PLACES, MEASURES = 192, 24, 6
 WIDTH = PATH_PLACES + WORD_PLACES + MEASURES
 HIDDEN_UNITS = 20
@@ -35,29 +39,36 @@ ROUNDS = 7
 VARIED = tuple(range(3, 13))
 CELLS = 16_384
 #: Tags and names that say that a block is not the article's own text.
-OTHER_TAGS = frozenset("nav footer aside form menu dialog button select textarea fieldset figcaption".split())
+OTHER_TAGS = frozenset("nav footer aside form menu dialog button select textarea".split())
 OTHER_NAMES = frozenset(
-    "ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs byline comment comments consent cookie cookies "
+    "ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies "
     "copyright discussion disqus footer form gdpr header hidden masthead menu modal nav navbar navigation newsletter notice "
     "pager pagination popup promo promotion promoted recommended related replies reply respond search share sharing shop "
     "sidebar sidenav signup social sponsor sponsored subscribe subscription tags toolbar topbar widget".split())
 MAIN_NAMES = frozenset("article content entry main post story body text".split())
+#: Those that are foreign outside the article and part of it inside.
+OUTER_TAGS, OUTER_NAMES = frozenset("header fieldset figcaption".split()), frozenset(["byline"])
 
 
 def weak_labels(blocks):
     """1 for the blocks that belong to the article by the tags and names above them: those
     inside its element or, on a page without one, all that nothing speaks against."""
-    inside, other = [], []
-    for path, _, _ in blocks:
-        main = False
-        against = False
-        for tag, names in path:
-            against = against or tag in OTHER_TAGS or bool(OTHER_NAMES.intersection(names)) or tag == "header" and not main
-            main = main or tag in ("article", "main") or bool(MAIN_NAMES.intersection(names))
-        inside.append(main)
-        other.append(against)
-    some = any(m and not o for m, o in zip(inside, other))
-    return [int(not o and (m or not some)) for m, o in zip(inside, other)]
+    sides = [downward(path, "side", (False, False), _side) for path, _, _ in blocks]
+    some = any(main and not against for main, against in sides)
+    return [int(not against and (main or not some)) for main, against in sides]
+
+
+def _side(above, own):
+    """(inside the article, foreign) below one more tag."""
+    (main, against), (tag, names) = above, own
+    against = against or tag in OTHER_TAGS or bool(OTHER_NAMES.intersection(names)) or not main and (
+        tag in OUTER_TAGS or bool(OUTER_NAMES.intersection(names)))
+    return main or tag in ("article", "main") or bool(MAIN_NAMES.intersection(names)), against
+
+
+def downward(path, name, start, step):
+    """A fold over the tags of a path; the nodes of a page's tree keep theirs."""
+    return path.worked(name, start, step) if isinstance(path, Path) else reduce(step, path, start)
 
 
 _places = {}
@@ -74,14 +85,16 @@ def place(token, size):
 
 
 def path_vector(path):
-    v = np.zeros(PATH_PLACES, np.float32)
-    for tag, names in path:
-        for token in ("<" + tag, *names):
-            at, sign = place(token, PATH_PLACES)
-            v[at] += sign
-            at, sign = place("2" + token, PATH_PLACES)
+    return np.clip(downward(path, "sum", np.zeros(PATH_PLACES, np.float32), _with_tag), -2, 2)
+
+
+def _with_tag(above, own):
+    v, (tag, names) = above.copy(), own
+    for token in ("<" + tag, *names):
+        for spelled in (token, "2" + token):
+            at, sign = place(spelled, PATH_PLACES)
             v[at] += sign
-    return np.clip(v, -2, 2)
+    return v
 
 
 def vectors(pages):
@@ -99,7 +112,7 @@ def vectors(pages):
     out[:, -5] = [linked for _, _, linked in blocks]
     out[:, -4] = [text[-1] in ".!?…" for _, text, _ in blocks]
     out[:, -3] = ["©" in text for _, text, _ in blocks]
-    out[:, -2] = [len(path) / 8 for path, _, _ in blocks]
+    out[:, -2] = [min(len(path), 64) / 8 for path, _, _ in blocks]
     out[:, -1] = 1
     return np.split(out, np.cumsum([len(page) for page in pages])[:-1])
 
@@ -128,7 +141,8 @@ def _sigmoid(x):
 
 
 class Lstm:
-    """One direction; `mask` keeps the state of pages that have ended."""
+    """One direction; `mask` keeps the state of pages that have ended, `state` that of a page
+    that is read in parts."""
 
     def __init__(self, rng, width, units):
         self.w = (rng.standard_normal((width, 4 * units)) / np.sqrt(width)).astype(np.float32)
@@ -136,11 +150,11 @@ class Lstm:
         self.b = np.zeros(4 * units, np.float32)
         self.b[units:2 * units] = 1
 
-    def forward(self, x, mask, trace=None):
+    def forward(self, x, mask, trace=None, state=None):
         steps, batch, _ = x.shape
         n = self.u.shape[0]
         drive = x @ self.w + self.b
-        h, c = np.zeros((batch, n), np.float32), np.zeros((batch, n), np.float32)
+        h, c = state or (np.zeros((batch, n), np.float32), np.zeros((batch, n), np.float32))
         out = np.zeros((steps, batch, n), np.float32)
         for t in range(steps):
             z = drive[t] + h @ self.u
@@ -152,6 +166,8 @@ class Lstm:
                 trace.append((i, f, o, g, c, new, h, m))
             h, c = m * (o * np.tanh(new)) + (1 - m) * h, m * new + (1 - m) * c
             out[t] = h
+        if state is not None:
+            state[:] = h, c
         return out
 
     def backward(self, x, trace, grad):
@@ -213,6 +229,17 @@ class BlockLabeller:
                 out[i] = logit[:len(pages[i]), j]
         return out
 
+    def long_scores(self, blocks):
+        """Logits of the blocks of one page, `CELLS` blocks at a time in either direction."""
+        out = np.full(len(blocks), self.offset[0], np.float32)
+        begins = range(0, len(blocks), CELLS)
+        for lstm, weight, turn in ((self.ahead, self.out[:HIDDEN_UNITS], 1), (self.back, self.out[HIDDEN_UNITS:], -1)):
+            state = [np.zeros((1, HIDDEN_UNITS), np.float32)] * 2
+            for a in begins[::turn]:
+                x, mask = self.padded(vectors([blocks[a:a + CELLS]]))
+                out[a:a + CELLS] += (lstm.forward(x[::turn], mask, state=state)[::turn] @ weight)[:, 0]
+        return out
+
     def train(self, pages, labels, rounds=ROUNDS, rate=0.01, batch=24, seed=11):
         rng = np.random.default_rng(seed)
         moments = [(np.zeros_like(p), np.zeros_like(p)) for p in self.parameters()]
@@ -288,9 +315,14 @@ def fit(pages, html="html", key="page_id", sample=SAMPLE):
     count = pages.count()
     share = F.pmod(F.xxhash64(F.lit("pages"), F.col(key).cast("string")), F.lit(1 << 30)) / float(1 << 30)
     taken = pages.where(share < min(1.0, sample / max(1, count))).where(F.length(html) <= SAMPLE_CHARS).select(html).collect()
-    read = [b for b in (page_blocks(r[0]) for r in sorted(taken)) if b]
+    read = [b for b in (page_blocks(r[0]) for r in sorted(taken)) if b and max(len(path) for path, _, _ in b) <= SAMPLE_DEPTH]
+    return fit_pages(read)
+
+
+def fit_pages(read):
+    """A labeller learnt from the blocks of some pages."""
     # so that there is something to learn from, whatever the pages
-    read += [[((("html", ()), ("body", ()), ("article", ()), ("p", ())), "A line of text.", 0.0)]]
+    read = read + [[((("html", ()), ("body", ()), ("article", ()), ("p", ())), "A line of text.", 0.0)]]
     shown = read + [b for seed in VARIED for b in varied(read, seed)]
     model = BlockLabeller()
     model.train(vectors(shown), [weak_labels(b) for b in shown])
@@ -299,8 +331,11 @@ def fit(pages, html="html", key="page_id", sample=SAMPLE):
 
 def texts_of(model, htmls):
     """Main text of each page."""
-    blocks = [page_blocks(h) for h in htmls]
-    scores = model.scores(vectors(blocks))
+    root = Path()
+    blocks = [page_blocks(h, root) for h in htmls]
+    short = [b if len(b) <= CELLS else [] for b in blocks]
+    scores = model.scores(vectors(short))
+    scores = [s if len(b) <= CELLS else model.long_scores(b) for b, s in zip(blocks, scores)]
     return ["\n".join([text for (_, text, _), s in zip(b, logit) if s > 0]) for b, logit in zip(blocks, scores)]
 
 

@@ -229,6 +229,53 @@ def test_blocks():
     assert page_blocks(None) == page_blocks("") == page_blocks("<p></p>") == [] and page_blocks("<p")[0:] == []
 
 
+def lines(page):
+    return [b[1] for b in page_blocks(page)]
+
+
+def test_lines_are_not_split_by_what_stands_in_them():
+    assert lines("<p>one <img src=x> two</p>") == ["one two"] and lines("<p>super<wbr>cali</p>") == ["supercali"]
+    assert lines("<p>a <svg><title>t</title><text>no</text></svg> b</p>") == ["a b"] == lines("<p>a <svg viewBox='0'/> b</p>")
+    assert lines("<p>if <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x = 2</annotation></math> then</p>") == ["if x=2 then"]
+    assert lines("<p><ruby>漢<rt>kan</rt></ruby>字</p>") == ["漢kan字"] and lines("<p>a <x-y>b</x-y> c</p>") == ["a b c"]
+    assert lines("<p>press <button>OK</button> now</p>") == ["press now"] and lines("<div><button>OK</button>x</div>") == ["OK", "x"]
+    assert lines("<p>a <object><p>no</p></object> b</p><p>c") == ["a b", "c"] and lines("<p>a<script>'<p>'</script>b</p>") == ["ab"]
+    assert lines("<p>a <video><source src=q>no</video>b") == ["a b"] and lines("<p>x<input>y<p>z") == ["xy", "z"]
+    assert lines("a<p>b<div>c<span>d<section>e</section></span>f</div>g") == ["a", "b", "cd", "e", "f", "g"]
+    labels = lambda page: html.weak_labels(page_blocks(page))
+    assert labels("<article><p>a</p><figure><figcaption>b</figcaption></figure><p class=byline>c</p><div class=ad>d</div></article><figcaption>e") == [
+        1, 1, 1, 0, 0]
+
+
+def test_deep_and_long_pages_take_little_memory():
+    import tracemalloc
+
+    model = html.fit_pages([[((("article", ()), ("p", ())), "A line of text.", 0.0)]])
+    deep = "".join(f"<div>line {i} of text" for i in range(6_000))
+    wide = "<article>" + "<p>line of text</p>" * 20_000 + "</article>"
+    tracemalloc.start()
+    got = html.texts_of(model, [deep, wide, "<p>x"])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 3 and most < 100 << 20
+    # a page read in parts gets the scores of one that is read as a whole
+    blocks = page_blocks("<article>" + "".join(f"<p>line {i}</p><div class=ad>buy</div>" for i in range(200)))
+    whole = model.scores(html.vectors([blocks]))[0]
+    cells, html.CELLS = html.CELLS, 64
+    try:
+        assert np.abs(model.long_scores(blocks) - whole).max() < 1e-4
+    finally:
+        html.CELLS = cells
+
+
+def test_paths_are_nodes_of_one_tree():
+    blocks = page_blocks("<div><p>a</p><p>b</p></div><div><p>c</p><p class=other>d</p></div>")
+    assert blocks[0][0] is blocks[1][0] is blocks[2][0] and blocks[3][0] is not blocks[0][0]
+    assert tuple(blocks[0][0]) == (("div", ()), ("p", ())) and len(blocks[0][0]) == 2
+    for path, _, _ in blocks:
+        assert np.array_equal(html.path_vector(path), html.path_vector(tuple(path)))
+
+
 def test_pages(spark):
     rows = html.op3_html(spark, SF).collect()
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
