@@ -9,7 +9,7 @@ from corpus_checks import derived as d
 from maskwright.functions import answers, detect, entities, text
 from maskwright.operators import assembly, boxes, cells, entities as entity_ops, gazetteer, inference, masking
 from maskwright.plans import detectors
-from maskwright.plans.mask_corpus import mask_corpus, redact_any
+from maskwright.plans.mask_corpus import mask_corpus, mask_folder, redact_any
 from maskwright.plans.mask_documents import detect_values, mask_documents, outcome, passthrough_clean
 from maskwright.schema import FAILED, KINDS
 from maskwright.session import durable, work_path
@@ -435,8 +435,7 @@ def mask_corpus_query(spark, sf):
     """Documents as a folder of files, masked into another folder, and read again."""
     source = d.folder(spark, d.file_rows(spark, sf).select("path", "content"))
     target = work_path(spark, "masked")
-    corpus = mask_corpus(files.scan_files(spark, source))
-    sinks.write_masked_corpus(corpus, target, work_path(spark, "report"), base=source)
+    mask_folder(spark, source, target, work_path(spark, "report"))
     again = files.read_any(files.scan_files(spark, target))
     return again.select(d.below(target).alias("path"), "text", "error")
 

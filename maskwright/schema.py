@@ -12,6 +12,7 @@ SUPPORTED_EXTENSIONS = OFFICE_EXTENSIONS + TEXT_EXTENSIONS
 
 # Outcome of one document.
 MASKED = "masked"
+PARTLY_MASKED = "partly_masked"
 CLEAN = "clean"
 PARSE_FAILED = "parse_failed"
 FAILED = "failed"

@@ -1,5 +1,7 @@
 """Session helpers: the shared work folder and the settings the jobs like."""
 
+import contextlib
+import contextvars
 import os
 import shutil
 import tempfile
@@ -55,16 +57,35 @@ def work_root(spark):
     return root
 
 
+_scope = contextvars.ContextVar("work_scope", default=None)
+
+
+@contextlib.contextmanager
+def work_scope(spark, name="job"):
+    """What steps inside write for themselves goes to one folder, which is removed at the end of
+    the `with` block, as it may hold personal data. It stays if the block fails. Results that
+    are read later have to be written inside."""
+    root = work_path(spark, name)
+    token = _scope.set(root)
+    try:
+        yield root
+    finally:
+        _scope.reset(token)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def work_path(spark, name):
-    """A fresh path below the shared folder."""
-    return f"{work_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, or below that of the job that runs."""
+    return f"{(_scope.get() or work_root(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def durable(spark, df, name):
     """Write `df` once to the shared folder and go on from the written table.
 
     Used where a step must not run twice (a model call) or must survive the loss
-    of executors; the table stays until the folder's owner clears it.
+    of executors; the table stays until the job's `work_scope` ends or, without one, until
+    the folder's owner clears it.
     """
     path = work_path(spark, name)
     df.write.parquet(path)
