@@ -11,7 +11,6 @@ from maskwright.llm import decontamination as dc
 from tests.llm.test_simhash import roots, slow_fingerprint
 
 SF = "/root/testdata/sf0.001"
-UNLEARNT = "いろはにほへとちりぬるを わかよたれそつねならむ うゐのおくやまけふこえて あさきゆめみしゑひもせす 色は匂へど散りぬるを我が世誰ぞ常ならむ"
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +24,7 @@ def folder(spark, tmp_path_factory):
     new = lambda i, text, lang="en": (i, text, lang, "planted", len(text or ""))
     rows += [new(100_000 + i, r["text"]) for i, r in enumerate(plain[:5])]  # exact copies
     rows += [new(100_100 + i, r["text"] + " the") for i, r in enumerate(plain[:5])]  # near copies
-    rows += [new(100_200, None), new(100_201, ""), new(100_202, "12345 !!! ###"), new(100_203, UNLEARNT)]
+    rows += [new(100_200, None), new(100_201, ""), new(100_202, "12345 !!! ###")]
     rows += [new(100_300 + i, f"{plain[i + 5]['text'][:200]} {item.upper()} {plain[i + 6]['text'][:200]}") for i, item in enumerate(items[:4])]
     rows += [rows[0], new(None, plain[12]["text"][:250])]
     schema = spark.read.parquet(f"{SF}/documents.parquet").schema
@@ -67,7 +66,7 @@ def test_language_stage(steps):
     model = language.fit(frame)
     assert ids(after) == ids([r for r in before if not model.predict([r["text"]])[2][0]])
     gone = set(ids(before)) - set(ids(after))
-    assert gone >= {100_200, 100_201, 100_202, 100_203} and len(gone) < 10
+    assert gone >= {100_200, 100_201, 100_202} and len(gone) < 10
 
 
 def test_quality_stage(spark, steps, folder):
