@@ -313,9 +313,9 @@ ORACLES = {
         CASE WHEN length(text) >= 20 THEN CAST(line AS VARCHAR) ELSE text END AS raw, text,
         CAST(NULL AS VARCHAR) AS status FROM ({LINES})""",
     "resolve_nation_cells": """SELECT 'n.xlsx' AS path, CAST(1 AS BIGINT) AS sheet, CAST(c_custkey AS BIGINT) AS cell_ord,
-        's' AS dtype, CAST(c_nationkey AS VARCHAR) AS raw, n_name AS text,
-        CASE WHEN n_name IS NULL THEN 'failed' END AS status
-        FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey""",
+        's' AS dtype, CAST(idx AS VARCHAR) AS raw, n_name AS text, CASE WHEN n_name IS NULL THEN 'failed' END AS status
+        FROM (SELECT *, c_nationkey + CASE WHEN c_custkey % 10 = 0 THEN 100 ELSE 0 END AS idx FROM customer)
+        LEFT JOIN nation ON idx = n_nationkey""",
     "assemble_words": f"""WITH {WORDS}, page_texts AS (SELECT doc_id, page,
         string_agg(word || ' ', '' ORDER BY pos) || chr(10) AS text FROM words GROUP BY doc_id, page)
         SELECT doc_id, string_agg(text, '' ORDER BY page) AS text FROM page_texts GROUP BY doc_id""",

@@ -374,13 +374,15 @@ def resolve_cells(spark, sf):
 
 
 def resolve_nation_cells(spark, sf):
-    """Customers' nations as shared strings of one workbook, all with one key."""
+    """Customers' nations as shared strings of one workbook, all with one key; every tenth points
+    past the table."""
     nation = d.table(spark, sf, "nation").select(
         F.lit("n.xlsx").alias("path"), F.col("n_nationkey").alias("idx"), F.col("n_name").alias("text")
     )
     found = d.table(spark, sf, "customer").select(
         F.lit("n.xlsx").alias("path"), F.lit(1).alias("sheet"), F.col("c_custkey").alias("cell_ord"),
-        F.lit("s").alias("dtype"), F.col("c_nationkey").cast("string").alias("raw"),
+        F.lit("s").alias("dtype"),
+        (F.col("c_nationkey") + F.when(F.col("c_custkey") % 10 == 0, 100).otherwise(0)).cast("string").alias("raw"),
         F.lit(True).alias("has_sst"),
     )
     return flat(cells.resolve_cells(found, nation))
