@@ -1,5 +1,8 @@
 """Ways to detect, in one shape: a function that adds `pii` (and maybe
-`detect_status`) to a DataFrame with a `text` column."""
+`detect_status`) to a DataFrame with a `text` column.
+
+One that reads its input more than once says so by an attribute `rereads`; a job that has
+an input which is dear to make writes it first then."""
 
 from pyspark.sql import functions as F
 
@@ -21,7 +24,11 @@ def by_dictionary(dictionary, id_col="doc_id", **options):
 
 
 def by_model(make_model, id_col="doc_id", **options):
-    return lambda docs: infer_pii(docs, make_model, id_col, **options)
+    def detect(docs):
+        return infer_pii(docs, make_model, id_col, **options)
+
+    detect.rereads = True
+    return detect
 
 
 def combined(*detectors):
@@ -48,4 +55,5 @@ def combined(*detectors):
             *[f"_pii{i}" for i in range(len(detectors))]
         )
 
+    detect.rereads = any(getattr(d, "rereads", False) for d in detectors)
     return detect
