@@ -402,3 +402,23 @@ def test_cuts():
                 assert any(b <= at and at + length <= e for b, e in spans)
     with pytest.raises(ValueError):
         stitching.cuts("a", 5, 5, 0)
+
+
+def test_assemble_of_rows_in_any_place(spark):
+    """Repeated keys and positions, null keys, gaps, characters of any width, and any order."""
+    plain = [(d, p, i, f"{w}{i}") for d in (1, 2, None) for p in (1, 2) for i, w in enumerate(["a", "é", "漢", "𝔘", ""] * 500)]
+    odd = plain + [(1, 1, i, "z") for i in range(1, 2000, 3)] + [(2, 1, 5000, "far"), (1, 3, None, None)]
+    want = {}
+    for d in (1, 2, None):
+        pages = {}
+        for _, p, i, w in [r for r in odd if r[0] == d]:
+            pages.setdefault(p, []).append((-1 if i is None else i, (w + " ") if w is not None else ""))
+        want[d] = "".join("".join(w for _, w in sorted(pages[p])) + "\n" for p in sorted(pages))
+    schema = "doc_id long, page int, pos int, word string"
+    for order in (odd, list(reversed(odd)), odd[1::2] + odd[::2]):
+        got = {r["doc_id"]: r["text"] for r in assembly.assemble_words(spark.createDataFrame(order, schema)).collect()}
+        assert got == want
+    # what a shuffle moves are texts, not a row for each word
+    in_order = spark.createDataFrame(plain, schema).coalesce(1).select("doc_id", "page", F.lit(0).cast("long").alias("b"), F.col("pos").cast("long"), "word")
+    made = in_order.mapInArrow(assembly._join_neighbours, "doc_id long, page int, b long, pos long, _sizes array<int>, _text string")
+    assert made.count() <= 6 + in_order.count() // 1000
