@@ -7,8 +7,11 @@ centroids, clustered on a bounded sample of its rows. A text gets the language o
 centroid with the highest cosine, its score, and is rejected where that cosine falls
 below the least that its language's own rows of about as many different n-grams show:
 short and repetitive texts have low cosines, and do not lower the bound of others. Own
-rows are all learning rows of that language that are also found to be of it. A text of a
-word or two is not rejected, as its cosine says too little.
+rows are all learning rows of that language that are also found to be of it, but for odd
+ones, whose cosine is below a fixed share of the median of such rows: a text of another
+kind under a language's name is rejected itself, and neither lowers the bound nor gets a
+centroid, unless many rows are like it. A text of a word or two is not rejected, as its
+cosine says too little.
 
 A text that is null or has no letter is `und`, with score 0, and rejected. Equal texts
 get equal results; of centroids with equal cosine the first counts, languages in
@@ -28,6 +31,13 @@ CENTROIDS = 4
 SAMPLE = 600
 #: Rejection bound: the least cosine of so many own rows at least that it is below this share of them.
 REJECT_QUANTILE = 0.001
+#: A row is odd if its cosine is below this share of the median of own rows of its class.
+ODD_SHARE = 0.35
+#: Cosines are counted in so many bins; a median needs so many rows.
+BINS = 100
+MEDIAN_ROWS = 20
+#: Clusters with a smaller share of the clustered rows give no centroid.
+LEAST_CLUSTER = 0.05
 #: Classes of texts by number of different n-grams, two for each doubling.
 CLASSES = 2 * 12 + 1
 #: A text of a lower class, with fewer than 32 different n-grams, is a word or two, which a
@@ -94,20 +104,62 @@ def gram_frequencies(df, text):
     return df.select(text).mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
 
 
-def cluster(rows, k, rounds=12):
-    """Spherical k-means from starts spread far apart; returns unit centroids."""
-    picked = [0]
-    near = rows @ rows[0]
-    while len(picked) < min(k, len(rows)):
-        far = int(np.argmin(near))
-        picked.append(far)
-        near = np.maximum(near, rows @ rows[far])
-    centres = rows[picked]
-    for _ in range(rounds):
+def cosine_bin(cosine):
+    return np.clip((cosine * BINS).astype(int), 0, BINS)
+
+
+def odd_below(counts):
+    """Per language and class the bin below which cosines are those of odd rows: `ODD_SHARE` of
+    the median of the own rows of that class and its two neighbours, from `counts` by language,
+    class and bin. Where these are too few, the rows of all languages count, then the bin of the
+    next shorter class, as cosines grow with the class. At most half of a language is odd."""
+    out, together = np.zeros(counts.shape[:2], int), counts.sum(axis=0)
+    for i, own in enumerate(counts):
+        for c in range(CLASSES):
+            around = slice(max(0, c - 1), c + 2)
+            near = next((n for n in (own[around].sum(axis=0), together[around].sum(axis=0)) if n.sum() >= MEDIAN_ROWS), None)
+            if near is not None:
+                out[i, c] = int(ODD_SHARE * np.searchsorted(np.cumsum(near), near.sum() / 2))
+            elif c:
+                out[i, c] = out[i, c - 1]
+        if 2 * own[np.arange(BINS + 1) < out[i][:, None]].sum() > own.sum():
+            out[i] = 0
+    return out
+
+
+def without_odd(groups):
+    """The rows of each language that are not odd by their cosine with the mean of all."""
+    counts, places = np.zeros((len(groups), CLASSES, BINS + 1), np.int64), []
+    for rows, n in zip(groups, counts):
+        mean = rows.sum(axis=0)
+        places.append((gram_class(rows), cosine_bin(rows @ (mean / max(np.linalg.norm(mean), 1e-12)))))
+        np.add.at(n, places[-1], 1)
+    return [rows[near >= odd[at]] for rows, (at, near), odd in zip(groups, places, odd_below(counts))]
+
+
+def cluster(rows, k, rounds=12, tries=4):
+    """Spherical k-means from starts spread far apart, but for the farthest rows, which may be
+    odd; returns unit centroids. Rows of small clusters are left out and the others clustered
+    again."""
+    found = None
+    for _ in range(tries):
+        picked = [0]
+        near = rows @ rows[0]
+        while len(picked) < min(k, len(rows)):
+            far = int(np.argsort(near, kind="stable")[int(LEAST_CLUSTER * len(rows))])
+            picked.append(far)
+            near = np.maximum(near, rows @ rows[far])
+        centres = rows[picked]
+        for _ in range(rounds):
+            own = np.argmax(rows @ centres.T, axis=1)
+            sums = np.stack([rows[own == c].sum(axis=0) if (own == c).any() else centres[c] for c in range(len(centres))])
+            centres = (sums / np.maximum(np.linalg.norm(sums, axis=1), 1e-12)[:, None]).astype(np.float32)
         own = np.argmax(rows @ centres.T, axis=1)
-        sums = np.stack([rows[own == c].sum(axis=0) if (own == c).any() else centres[c] for c in range(len(centres))])
-        centres = sums / np.maximum(np.linalg.norm(sums, axis=1), 1e-12)[:, None]
-    return centres.astype(np.float32)
+        large = np.bincount(own, minlength=len(centres)) >= max(2, LEAST_CLUSTER * len(rows))
+        if large.all() or not large.any():
+            return centres if large.all() or found is None else found
+        found, rows = centres[large], rows[large[own]]
+    return found
 
 
 class LanguageModel:
@@ -136,10 +188,10 @@ class LanguageModel:
         return names, scores, out
 
 
-def least_cosines(rows, text, lang, model):
-    """The least cosine and the number of each language's own rows, by class: two arrays."""
+def own_cosines(rows, text, lang, model):
+    """The number and the least cosine of each language's own rows, by class and bin: two arrays."""
     names, idf, centroids, owner = model.languages, model.idf, model.centroids, model.owner
-    shape = (len(names), CLASSES)
+    shape = (len(names), CLASSES, BINS + 1)
 
     def run(batches):
         least, n = np.full(shape, np.inf), np.zeros(shape, np.int64)
@@ -150,25 +202,27 @@ def least_cosines(rows, text, lang, model):
                     some = part.slice(start, ROWS)
                     counts, letters = gram_counts(some.column(text).to_pylist())
                     cosine = weighted(counts, idf) @ centroids.T
-                    found = owner[np.argmax(cosine, axis=1)]
+                    found, top = owner[np.argmax(cosine, axis=1)], cosine.max(axis=1)
                     own = letters & (found == [number[x] for x in some.column(lang).to_pylist()])
-                    place = (found[own], gram_class(counts)[own])
-                    np.minimum.at(least, place, cosine.max(axis=1)[own])
+                    place = (found[own], gram_class(counts)[own], cosine_bin(top[own]))
+                    np.minimum.at(least, place, top[own])
                     np.add.at(n, place, 1)
         at = np.nonzero(n)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(at[0]), pa.array(at[1]), pa.array(least[at]), pa.array(n[at])], ["language", "class", "least", "n"])
+        yield pa.RecordBatch.from_arrays([*map(pa.array, at), pa.array(n[at]), pa.array(least[at])],
+                                         ["language", "class", "bin", "n", "least"])
 
     least, n = np.full(shape, np.inf), np.zeros(shape, np.int64)
-    made = rows.select(text, lang).mapInArrow(run, "language long, class long, least double, n long")
-    for r in made.groupBy("language", "class").agg(F.min("least").alias("least"), F.sum("n").alias("n")).collect():
-        least[r["language"], r["class"]], n[r["language"], r["class"]] = r["least"], r["n"]
-    return least, n
+    made = rows.select(text, lang).mapInArrow(run, "language long, class long, bin long, n long, least double")
+    for r in made.groupBy("language", "class", "bin").agg(F.sum("n").alias("n"), F.min("least").alias("least")).collect():
+        place = r["language"], r["class"], r["bin"]  # CLASSES * (BINS + 1) for each language at most
+        n[place], least[place] = r["n"], r["least"]
+    return n, least
 
 
-def least_left_out(groups, centres, owner):
+def least_left_out(groups, centres, owner, odd):
     """The least cosine of each language's own clustered rows, by class, each row taken out of
-    its own cluster: a centroid that follows an odd row says nothing of the next odd row."""
+    its own cluster: a centroid that follows a row says nothing of the next such row. Bins below
+    `odd` do not count."""
     least, stacked = np.full((len(groups), CLASSES), np.inf), np.concatenate(centres)
     for i, data in enumerate(groups):
         cosine, columns = data @ stacked.T, np.flatnonzero(owner == i)
@@ -177,11 +231,17 @@ def least_left_out(groups, centres, owner):
             some = np.flatnonzero(mine == c)
             rest = data[some].sum(axis=0) - data[some]
             cosine[some, column] = (data[some] * rest).sum(axis=1) / np.maximum(np.linalg.norm(rest, axis=1), 1e-6)
-        own = (owner[np.argmax(cosine, axis=1)] == i) & (data > 0).any(axis=1)
-        np.minimum.at(least[i], gram_class(data)[own], cosine.max(axis=1)[own])
+        at, top = gram_class(data), cosine.max(axis=1)
+        own = (owner[np.argmax(cosine, axis=1)] == i) & (data > 0).any(axis=1) & (cosine_bin(top) >= odd[i, at])
+        np.minimum.at(least[i], at[own], top[own])
     return least
 
 
+def rounded_down(cosine):
+    """To thousandths, since the last bits of a cosine depend on the rows beside it."""
+    return np.maximum(np.floor((cosine - 1e-5) * 1000) / 1000, 0)
+
+
 def bounds(least, n):
     """Per language and class the least cosine of the own rows of that class and its neighbours,
     as many on either side as hold 1 / REJECT_QUANTILE rows. Languages that have fewer than
@@ -196,8 +256,17 @@ def bounds(least, n):
             while reach < CLASSES and many[max(0, c - reach):c + reach + 1].sum() < enough:
                 reach += 1
             out[i, c] = low[max(0, c - reach):c + reach + 1].min()
-    # rounded down, since the last bits of a cosine depend on the rows beside it
-    return np.where(np.isfinite(out), np.maximum(np.floor((out - 1e-5) * 1000) / 1000, 0), 0).astype(np.float32)
+    return np.where(np.isfinite(out), rounded_down(out), 0).astype(np.float32)
+
+
+def robust_bounds(n, least, groups, centres, owner):
+    """Bounds from the own rows that are not odd; from `LEAST_CLASS` on never below what is odd."""
+    odd = odd_below(n)
+    common = np.arange(BINS + 1) >= odd[:, :, None]
+    seen = np.where(common, least, np.inf).min(axis=2)
+    out = bounds(np.minimum(seen, least_left_out(groups, centres, owner, odd)), np.where(common, n, 0).sum(axis=2))
+    out[:, LEAST_CLASS:] = np.maximum(out, rounded_down(odd / BINS))[:, LEAST_CLASS:]
+    return out
 
 
 def fit(rows, key="doc_id", text="text", lang="lang", sample=SAMPLE, centroids=CENTROIDS):
@@ -226,17 +295,17 @@ def fit(rows, key="doc_id", text="text", lang="lang", sample=SAMPLE, centroids=C
         groups.setdefault(r["lang"], []).append(bytes(r["v"]))
     names = sorted(groups)
     centres, owner, known = [], [], []
-    for i, name in enumerate(names):
-        data = np.stack([np.frombuffer(v, np.float16) for v in sorted(groups[name])]).astype(np.float32)
+    for name in names:
+        known.append(np.stack([np.frombuffer(v, np.float16) for v in sorted(groups[name])]).astype(np.float32))
+    for i, data in enumerate(without_odd(known)):
         made = cluster(data, centroids)
         centres.append(made)
-        known.append(data)
         owner += [i] * len(made)
     stacked = np.concatenate(centres) if centres else np.zeros((0, PLACES), np.float32)
     model = LanguageModel(names, idf, stacked, np.array(owner, np.int64), np.zeros((len(names), CLASSES), np.float32))
     if names:
-        least, n = least_cosines(rows.where(F.col(lang).isin(names)), text, lang, model)
-        model.bound = bounds(np.minimum(least, least_left_out(known, centres, model.owner)), n)
+        n, least = own_cosines(rows.where(F.col(lang).isin(names)), text, lang, model)
+        model.bound = robust_bounds(n, least, known, centres, model.owner)
     return model
 
 

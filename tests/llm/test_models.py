@@ -69,6 +69,56 @@ def test_unlearnt_languages_are_rejected(spark, docs):
     assert len(short) >= 5 and not any(model.predict(short)[2]) and sum(model.predict(clean)[2]) <= 1
 
 
+def odd_texts(n):
+    """Texts of the words of an unlearnt language, or of random letters, all different."""
+    dice = random.Random(8)
+
+    def text(i):
+        words = dice.choice([25, 60, 200])
+        if i % 5 == 4:
+            return "".join(dice.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(words * 6))
+        return " ".join(dice.choice(UNLEARNT[i % 5].split()) for _ in range(words))
+
+    return [text(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("n", [1, 12])
+def test_odd_rows_under_a_learnt_language_are_rejected(spark, docs, n):
+    rows = [(90_000 + i, text, ["de", "en", "es", "fr"][i % 4]) for i, text in enumerate(odd_texts(n))]
+    both = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    kept = {r["doc_id"] for r in language.accepted(both, language.fit(both)).collect()}
+    assert not kept & {r[0] for r in rows} and len(kept) >= docs.count() - 1
+
+
+def test_no_centroid_for_a_few_odd_rows():
+    dice = np.random.default_rng(3)
+    rows = np.zeros((200, language.PLACES), np.float32)
+    rows[:100, :300] = 1 + dice.random((100, 300))
+    rows[100:, 200:500] = 1 + dice.random((100, 300))
+    rows[0], rows[1], rows[0, 3000:3300], rows[1, 3500:3800] = 0, 0, 1, 1
+    made = language.cluster(rows / np.linalg.norm(rows, axis=1)[:, None], 4)
+    assert len(made) >= 2 and not made[:, 3000:].any()
+    assert len(language.cluster(np.eye(3, language.PLACES, dtype=np.float32), 4)) == 3
+
+
+def test_what_is_odd_does_not_depend_on_the_number_of_rows():
+    for times in (1, 1000):
+        n = np.zeros((1, language.CLASSES, language.BINS + 1), np.int64)
+        n[0, 14, [15, 40, 60, 70]] = [1, 1, 20, 20]
+        n[0, 18, [20, 90]] = [1, 40]
+        got = language.odd_below(n * times)[0]
+        assert (got[:13] == 0).all() and (got[13:17] == 21).all() and (got[17:] == 31).all()
+    other = np.zeros_like(n)
+    other[0, 14, 10], other[0, 14, 50] = 5, 4
+    got = language.odd_below(np.concatenate([n, other, other * 10]))
+    assert got[0, 14] == 21 and (got[1] == 0).all() and got[2, 14] == 3  # few rows; a median of its own
+    n, least = n * 1000, np.full(n.shape, np.inf)
+    least[n > 0] = (np.nonzero(n)[2] + 0.5) / language.BINS
+    alike = np.full((2, language.PLACES), 1 / 64, np.float32)
+    bound = language.robust_bounds(n, least, [alike], [alike[:1]], np.array([0]))[0]
+    assert abs(bound[14] - 0.405) < 0.002 and abs(bound[18] - 0.905) < 0.002 and (bound[:language.LEAST_CLASS] == 0).all()
+
+
 def test_bounds_of_small_and_large_languages():
     least, n = np.full((2, language.CLASSES), np.inf), np.zeros((2, language.CLASSES), int)
     least[0, 3], n[0, 3], least[0, 12:15], n[0, 12:15] = 0.2, 4, [0.5, 0.6, 0.7], 2000
